@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandfold.llm import sharding
+from strandfold.llm import bpe, sharding, token_files
 
-MODULES = [sharding]
+MODULES = [bpe, sharding, token_files]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
