@@ -97,9 +97,9 @@ def windows(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
 
 def window_rows(first: np.ndarray, size: int, n_windows: int) -> np.ndarray:
     """True for the windows that lie in one row."""
-    ok = np.zeros(n_windows + 1, dtype=np.int32)
+    ok = np.zeros(n_windows + 1, dtype=np.int64)
     lo, hi = first[:-1], first[1:] - size + 1
     keep = hi > lo
-    np.add.at(ok, lo[keep], 1)
-    np.add.at(ok, hi[keep], -1)
+    ok[lo[keep]] += 1  # each position occurs once here
+    ok[hi[keep]] -= 1
     return np.cumsum(ok)[:n_windows] > 0
