@@ -20,23 +20,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandfold.llm import textnum
 from strandfold.llm.graph import components
-from strandfold.llm.shared import stored, table
+from strandfold.llm.shared import small, stored, table
 
 REGISTERS, ROWS = 100, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Candidates whose estimate is this much below the threshold aren't verified: over four standard errors.
 SLACK = 0.15
 BLOCK = 512
+SLICE = 1 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, REGISTERS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row; fewer words than size make one shingle, none make none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n, lo = len(column), 0
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    while lo < n:  # rows of about SLICE bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE)))
+        yield from _shingle_sets(column.slice(lo, hi - lo), size)
+        lo = hi
+
+
+def _shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     h, _, _, first, _ = textnum.words(column, fold=True)
     w = textnum.windows(h, size)
     for a, b in zip(first[:-1], first[1:]):
@@ -113,6 +126,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
     The texts of the b of one a come together in groups of about 256, each with a's text.
     """
+    pairs = stored(pairs, "pairs")
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("groups"))
     pairs = pairs.join(load, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     members = pairs.select("a", "g", "b").join(texts.withColumnRenamed("id", "b"), "b").select("a", "g", "b", "text")
@@ -185,7 +199,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     bands = classes.select("id", F.posexplode(F.array(*[value(i) for i in range(REGISTERS // ROWS)])).alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.min("id").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
     members = stored(bands.join(shared, ["band", "value"]).distinct(), "members")
-    texts = stored(docs.join(members.select("id").distinct(), "id"), "texts")
+    texts = stored(docs.join(small(members.select("id").distinct()), "id"), "texts")
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(verify(likely(star, reps, least), texts, size, percent), "links")
     more = stored(verify(rest_pairs(members, components(links), reps, least), texts, size, percent), "links")

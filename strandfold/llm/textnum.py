@@ -58,29 +58,56 @@ def batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - (offsets[0] if len(offsets) else 0)
 
 
+#: Bytes hashed at once; a few dozen bytes of memory each.
+_BLOCK = 2 << 20
+
+
+def _block_ends(raw: np.ndarray) -> list[int]:
+    """Where blocks of about _BLOCK bytes may end: at white space, so that no word is cut."""
+    ends, n = [], len(raw)
+    at = _BLOCK
+    while at < n:
+        while at < n and not (some := _SPACE[raw[at : at + 65536]]).any():
+            at += 65536
+        at = min(n, at + int(some.argmax())) if at < n else n
+        ends.append(at)
+        at += _BLOCK
+    return ends if ends and ends[-1] == n else [*ends, n]
+
+
 def words(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first, raw): a hash and byte range per word; words of row i are first[i]:first[i+1].
 
-    fold=True hashes A-Z as a-z.
+    fold=True hashes A-Z as a-z. Long columns and texts are taken in blocks.
     """
     raw, offsets = batch_bytes(column)
+    table = _FOLDED if fold else _TABLE
+    out: tuple[list, list, list] = ([], [], [])
+    lo = 0
+    for hi in _block_ends(raw):
+        some = _block(raw[lo:hi], offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo, table)
+        for to, x, plus in zip(out, some, (None, lo, lo)):
+            to.append(x if plus is None else x + plus)
+        lo = hi
+    hashes, starts, ends = (np.concatenate(x) if len(x) > 1 else x[0] for x in out)
+    return hashes, starts, ends, np.searchsorted(starts, offsets), raw
+
+
+def _block(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     if n == 0:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64), raw
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~_SPACE[raw]
     cut = np.ones(n + 1, dtype=bool)  # a word can't run across position i
     cut[1:n] = ~inside[:-1] | ~inside[1:]
-    cut[offsets[:-1][offsets[:-1] < n]] = True
+    cut[offsets] = True
     starts = np.flatnonzero(cut[:n] & inside)
     ends = np.flatnonzero(cut[1:] & inside) + 1
-    first = np.searchsorted(starts, offsets)
-    up = powers(_R, n)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum((_FOLDED if fold else _TABLE)[raw] * up, out=sums[1:])
+    np.cumsum(table[raw] * powers(_R, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(_R_INV, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), starts, ends, first, raw
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), starts, ends
 
 
 def windows(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
