@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Column
 
-from strandfold.llm.shared import stored, table
+from strandfold.llm.shared import small, stored, table
 
 EDITS = 2
 MIN_CHARS = 20
@@ -33,8 +33,6 @@ HOT = 200
 DEPTH = 5
 #: Lines with more copies than this enter the join by their first place only.
 MANY_COPIES = 100
-#: Rows that may be broadcast (two longs each); above it, joins shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -78,11 +76,48 @@ def bit_parallel_distance(a: Column, b: Column, edits: int) -> Column:
 
             return _let(F.struct(hp.alias("p"), hn.alias("n")), with_h)
 
-        return _let(x, lambda x: _let((x.bitwiseAND(acc["vp"]) + acc["vp"]).bitwiseXOR(acc["vp"]).bitwiseOR(x).bitwiseOR(acc["vn"]).bitwiseAND(mask), with_d0))
+        bits = _let(x, lambda x: _let((x.bitwiseAND(acc["vp"]) + acc["vp"]).bitwiseXOR(acc["vp"]).bitwiseOR(x).bitwiseOR(acc["vn"]).bitwiseAND(mask), with_d0))
+        return F.when(acc["dist"] > 3 * edits, acc).otherwise(bits)  # the last 2 * edits columns can't make up for that
 
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("vp"), zero.alias("vn"), F.lit(edits).alias("dist"), F.lit(1).alias("j"))
-    n = F.char_length(a)
-    return _let(F.split(a, ""), lambda chars: F.aggregate(F.split(b, ""), start, lambda acc, c: step(chars, n, acc, c), lambda acc: acc["dist"]))
+    return _let(
+        F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")),
+        lambda s: _let(F.size(s["a"]), lambda n: F.aggregate(s["b"], start, lambda acc, c: step(s["a"], n, acc, c), lambda acc: acc["dist"])),
+    )
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many characters two strings have in common at their start (strings of less than 2**20 characters; else perhaps fewer)."""
+    same = lambda p, k: F.substring(a, p + 1, k) == F.substring(b, p + 1, k)
+    steps = F.array(*[F.lit(1 << k) for k in range(19, -1, -1)])
+    return _let(
+        F.least(F.char_length(a), F.char_length(b)),
+        lambda most: F.aggregate(F.filter(steps, lambda k: k <= most), F.lit(0), lambda p, k: F.when((p + k <= most) & same(p, k), p + k).otherwise(p)),
+    )
+
+
+def trimmed(a: Column, b: Column, spare: int) -> Column:
+    """struct(a, b) without the characters that both have at both ends, but for spare ones: the distance is the same."""
+
+    def front(p: Column) -> Column:
+        p = F.greatest(p - spare, F.lit(0))
+        rest = F.struct(F.reverse(F.substr(a, p + 1)).alias("a"), F.reverse(F.substr(b, p + 1)).alias("b"))
+        return _let(rest, lambda r: _let(_common(r["a"], r["b"]), lambda q: F.struct(F.substr(r["a"], F.greatest(q - spare, F.lit(0)) + 1).alias("a"), F.substr(r["b"], F.greatest(q - spare, F.lit(0)) + 1).alias("b"))))
+
+    return _let(_common(a, b), front)
+
+
+def surviving(a: Column, b: Column, edits: int, pieces: int = 8) -> Column:
+    """How many of the even pieces of a stand in b at most edits characters from their place.
+
+    An edit spoils one piece, so lines within edits edits keep pieces - edits of them.
+    """
+    total = F.lit(0)
+    for i in range(pieces):
+        start, size = _segment(F.char_length(a), i, pieces)
+        around = F.substring(b, F.greatest(start + 1 - edits, F.lit(1)), size + edits + F.least(start, F.lit(edits)))
+        total = total + F.when(F.contains(around, F.substring(a, start + 1, size)), 1).otherwise(0)
+    return total
 
 
 def _segment(n: Column, i: int, pieces: int) -> tuple[Column, Column]:
@@ -118,20 +153,15 @@ def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
     return probe.join(index.hint("shuffle_hash"), "key").where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows by count; else Spark chooses."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _hot_pairs(long: DataFrame, hot: DataFrame, edits: int, hot_rows: int, depth: int) -> DataFrame:
     """Pairs under hot keys: cut the matched segment out and match the rest, level by level."""
     n = F.char_length("text")
     rows = lambda role: long.select("h1", F.explode(_keys(F.col("text"), n, [], edits, role, True)).alias("k")).select("h1", "k.key", "k.rest", "k.delta")
-    index, probe = (rows(r).join(_small(hot), "key", "left_semi") for r in ("index", "probe"))
+    index, probe = (rows(r).join(small(hot), "key", "left_semi") for r in ("index", "probe"))
     out = None
     for level in range(depth):
         n = F.char_length("rest")
-        short = n < 2 * (edits + 1)  # nothing left to cut: these differ in a few characters at most
+        short = n - F.col("delta") < 2 * (edits + 1)  # little is left to cut; the length is that of the indexed line on both sides
         done = _pairs(index.where(short), probe.where(short))
         again = lambda df, role, d=None: df.select("h1", F.explode(_keys(F.col("rest"), n, [F.col("key")], edits, role, True, d)).alias("k")).select("h1", "k.key", "k.rest", "k.delta")  # noqa: E731, B023
         index = stored(again(index.where(~short), "index").distinct(), "hot-index")
@@ -166,10 +196,11 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     filled = _lines(docs).where("length(trim(line)) > 0")
     own = filled.select("id", "no", *_ids())
     firsts = stored(own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "first-lines")
-    copied = _small(firsts.where(F.col("copies") > MANY_COPIES).select("h1", "h2", "first"))
+    copied = small(firsts.where(F.col("copies") > MANY_COPIES).select("h1", "h2", "first"))
     long = filled.select("id", "no", "line", *_ids()).where(F.char_length("line") >= min_chars)
     long = long.join(copied, ["h1", "h2"], "left").where("first is null or (first.id <=> id and first.no = no)").select("id", "no", "h1", "h2", F.col("line").alias("text"))
-    n = F.char_length("text")
+    long = long.withColumn("n", F.char_length("text"))
+    n = F.col("n")
     index = stored(long.select("h1", F.explode(_keys(F.col("text"), n, [], edits, "index", False)).alias("key")), "line-index")
     probe = long.select("h1", F.explode(_keys(F.col("text"), n, [], edits, "probe", False)).alias("key"))
     hot = stored(index.groupBy("key").agg(F.countDistinct("h1").alias("k")).where(F.col("k") > hot_rows).select("key"), "hot-keys")
@@ -181,9 +212,12 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     side = lambda s: firsts.select(F.col("h1").alias(f"h{s}"), F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(s))
     pairs = stored(pairs.join(side("a"), "ha").join(side("b"), "hb").select("a1", "a2", "b1", "b2", "a", "b"), "line-pairs")
     needed = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct().select(F.col("p.id").alias("id"), F.col("p.no").alias("no"))
-    texts = stored(_lines(docs).join(_small(needed), ["id", "no"]).select(F.struct("id", "no").alias("p"), "line"), "line-texts")
+    texts = stored(_lines(docs).join(small(needed), ["id", "no"]).select(F.struct("id", "no").alias("p"), "line"), "line-texts")
     text = lambda s: texts.select(F.col("p").alias(s), F.col("line").alias(f"t{s}"))
-    links = pairs.join(text("a"), "a").join(text("b"), "b").where(bit_parallel_distance(F.col("ta"), F.col("tb"), edits) <= edits)
+    pieces = 8
+    near = pairs.join(text("a"), "a").join(text("b"), "b").where(surviving(F.col("ta"), F.col("tb"), edits, pieces) >= pieces - edits)
+    distance = _let(trimmed(F.col("ta"), F.col("tb"), edits + 1), lambda t: bit_parallel_distance(t["a"], t["b"], edits))
+    links = near.where(distance <= edits)
     later = links.select(F.when(F.col("a") < F.col("b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).alias("h"))
     later = stored(later.select("h.*").distinct().withColumn("near", F.lit(True)), "later-lines")
     flags = firsts.join(later, ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "first", "near")
