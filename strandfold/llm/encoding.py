@@ -13,17 +13,34 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from strandfold.llm import textnum
+
 #: Pieces kept per worker process; the memory of a worker doesn't grow with the data.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 #: Pieces of more characters than this are encoded as a tree, and never kept.
 LONG_PIECE = 4096
 #: Characters that one library decides are white space and another doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: A plain word (letters that are stable under composition and folded one by one), perhaps after a space, then signs: two pre-tokens, whichever tokenizer.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 _BYTE_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s")
 
 
+def _shown() -> list[str]:
+    """The character that stands for each byte in the files of byte-level tokenizers."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
+_SHOWN = _shown()
+
+
 def load(path: str) -> Tokenizer:
     """A tokenizer without truncation and padding, one thread per Spark task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,47 +119,127 @@ class Pieces:
             return [text]
         if self.byte_level and any(x in text for x in self.special):  # the library cuts at these first
             return [p for x in self.at_special.split(text) for p in ([x] if x in self.special else _BYTE_PIECE.findall(x))]
-        return _BYTE_PIECE.findall(text) if self.byte_level else text.split()
-
-    def _stem(self, piece: str) -> tuple[str, str]:
-        """A word and the one comma or full stop after it, which are always separate pre-tokens; the word in lower case where the tokenizer folds case and that is plain."""
-        stem, end = piece, ""
-        if len(piece) > 2 and piece[-1] in ".," and piece[-2] < "\u0500" and piece[-2].lower().isalpha() and "'" not in piece:
-            stem, end = piece[:-1], piece[-1]
-        if not self.byte_level and stem.isascii() and "<|" not in stem:
-            stem = stem.lower()
-        return stem, end
+        if self.byte_level:
+            return _BYTE_PIECE.findall(text)
+        return text.split()
 
     def _long(self, piece: str) -> list[int]:
         if not self.byte_level or any(x in piece for x in self.special) or _ODD_SPACE.search(piece):
             return self.t.encode(piece, add_special_tokens=False).ids
         return [i for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(piece) for i in tree_encode(self.t, piece[a:b])]
 
+    def _stem(self, stem: str) -> bytes:
+        """A plain word is one pre-token as it stands, so the library's merges can be called on it directly."""
+        if not self.byte_level:
+            stem = stem.lower()
+        ids = self.known.get(stem)
+        if ids is None:
+            shown = stem if stem.isascii() and stem[0] != " " else "".join(map(_SHOWN.__getitem__, stem.encode()))
+            self.known[stem] = ids = array("I", [x.id for x in self.t.model.tokenize(shown)]).tobytes()
+        return ids
+
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids by piece, for all pieces given and perhaps others."""
-        new = [p for p in pieces if p not in self.known]
-        if not new:
-            return self.known
-        if len(self.known) + 2 * len(new) > self.limit:
-            self.known, new = {}, list(pieces)
-        short = {p: self._stem(p) for p in new if len(p) <= LONG_PIECE}
-        todo = [w for w in {w for stem_end in short.values() for w in stem_end if w} if w not in self.known]
-        known = self.known if len(pieces) <= self.limit else dict(self.known)
-        for lo in range(0, len(todo), 4096):
-            some = todo[lo : lo + 4096]
-            for w, e in zip(some, self.t.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-        for p, (stem, end) in short.items():
-            if p not in known:
-                known[p] = known[stem] + known[end] if end else known[stem]
-        if len(short) < len(new):  # long pieces aren't kept
-            known = known | {p: array("I", self._long(p)).tobytes() for p in new if len(p) > LONG_PIECE}
-        return known
+        """Ids by piece, for the pieces given and perhaps others; long pieces aren't kept in the cache."""
+        known, slow, long = self.known, [], {}
+        for p in pieces:
+            if len(p) > LONG_PIECE:
+                long[p] = array("I", self._long(p)).tobytes()
+            elif m := _PLAIN.fullmatch(p):
+                ids, end = self._stem(m[1]), m[2]
+                if end:
+                    if end not in known:
+                        known[end] = array("I", self.t.encode(end, add_special_tokens=False).ids).tobytes()
+                    ids += known[end]
+                known[p] = ids
+            else:
+                slow.append(p)
+        for lo in range(0, len(slow), 4096):
+            some = slow[lo : lo + 4096]
+            for p, e in zip(some, self.t.encode_batch_fast(some, add_special_tokens=False)):
+                known[p] = array("I", e.ids).tobytes()
+        return {**known, **long} if long else known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(x) for x in texts]
-        known = self.learn(set().union(*split)) if split else {}
-        return [b"".join([known[p] for p in some]) for some in split]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        get, rows, gaps = self.known.get, [], []
+        for x in texts:
+            some = self.split(x)
+            ids = list(map(get, some))
+            if not all(ids):
+                gaps.append((ids, [(i, some[i]) for i, b in enumerate(ids) if b is None]))
+            rows.append(ids)
+        if gaps:
+            known = self.learn({p for _, lacking in gaps for _, p in lacking})
+            for ids, lacking in gaps:
+                for i, p in lacking:
+                    ids[i] = known[p]
+        return list(map(b"".join, rows))
+
+
+class WordTable:
+    """Encodings of whole columns with a word-level tokenizer, looked up by word hash in sorted arrays.
+
+    White space is dropped by such a tokenizer, so words (see textnum) are on their own, and so
+    is a comma or full stop after a letter at a word's end, a pre-token of its own. A
+    table entry takes some thirty bytes; after LIMIT entries the table begins anew.
+    """
+
+    LIMIT = 2_000_000
+    MOST_IDS = 64
+
+    def __init__(self, path: str, limit: int = LIMIT) -> None:
+        self.pieces, self.limit = Pieces(path, False), limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _put(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Append encodings to the flat array: their places and lengths."""
+        n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        new = np.frombuffer(b"".join(ids), dtype=np.uint32)
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(new)), np.uint32)])
+        self.flat[self.used : self.used + len(new)] = new
+        at = self.used + np.cumsum(n) - n
+        self.used += len(new)
+        return at, n
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, offsets): each row's ids with end_id behind them; null rows have that alone."""
+        if len(self.keys) > self.limit:
+            self._empty()
+        # case is folded by the tokenizer, but not in the names of its special tokens
+        fold = not pc.any(pc.match_substring(column, "<|")).as_py()
+        hashes, starts, ends, first, raw = textnum.words(column, fold=fold, marks=True)
+        keys, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        i = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = i < len(self.keys)
+        known[inside] = self.keys[i[inside]] == keys[inside]
+        at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[known], n[known] = self.at[i[known]], self.n[i[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            new = [raw[a:b].tobytes().decode() for a, b in zip(starts[where[fresh]], ends[where[fresh]])]
+            self.pieces.known = {}
+            ids = self.pieces.learn(set(new))
+            at[fresh], n[fresh] = self._put([ids[w] for w in new])
+            keep = fresh[n[fresh] <= self.MOST_IDS]
+            to = np.searchsorted(self.keys, keys[keep])
+            self.keys, self.at, self.n = np.insert(self.keys, to, keys[keep]), np.insert(self.at, to, at[keep]), np.insert(self.n, to, n[keep])
+        n_word = n[which]
+        ends_out = np.cumsum(n_word)
+        total = int(ends_out[-1]) if len(ends_out) else 0
+        ids = self.flat[np.arange(total) + np.repeat(at[which] - (ends_out - n_word), n_word)]
+        rows = np.concatenate([[0], ends_out])[first]
+        per = np.diff(rows)
+        offsets = np.concatenate([[0], np.cumsum(per + 1)])
+        out = np.full(total + len(per), end_id, dtype=np.uint32)
+        out[np.arange(total) + np.repeat(np.arange(len(per)), per)] = ids
+        return out, offsets
 
 
 _LOADED: dict[tuple, Pieces] = {}
@@ -155,6 +252,26 @@ def pieces(path: str, byte_level: bool) -> Pieces:
     return _LOADED[path, byte_level]
 
 
+_TABLES: dict[str, WordTable] = {}
+
+
+def word_table(path: str) -> WordTable:
+    """One per worker process and tokenizer."""
+    if path not in _TABLES:
+        _TABLES[path] = WordTable(path)
+    return _TABLES[path]
+
+
+def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """Consecutive parts of a string column with about size bytes each."""
+    n, lo = len(column), 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
 def chunks(texts: list[str], size: int = 1 << 20) -> Iterator[slice]:
     """Slices of the list with about size characters each."""
     lo = n = 0

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, on the executors' disks once it has been computed; parts of lost executors are computed again.
+
+    For a table that is used more than once. stored() is for loops, whose lineage must end.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size of df, from file lengths; no job runs. Used to choose how many buckets to make."""
     return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

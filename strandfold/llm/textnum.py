@@ -75,17 +75,18 @@ def _block_ends(raw: np.ndarray) -> list[int]:
     return ends if ends and ends[-1] == n else [*ends, n]
 
 
-def words(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column: pa.Array, fold: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first, raw): a hash and byte range per word; words of row i are first[i]:first[i+1].
 
-    fold=True hashes A-Z as a-z. Long columns and texts are taken in blocks.
+    fold=True hashes A-Z as a-z. marks=True makes a comma or full stop that ends a word after an
+    ASCII letter a word of its own. Long columns and texts are taken in blocks.
     """
     raw, offsets = batch_bytes(column)
     table = _FOLDED if fold else _TABLE
     out: tuple[list, list, list] = ([], [], [])
     lo = 0
     for hi in _block_ends(raw):
-        some = _block(raw[lo:hi], offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo, table)
+        some = _block(raw[lo:hi], offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo, table, marks)
         for to, x, plus in zip(out, some, (None, lo, lo)):
             to.append(x if plus is None else x + plus)
         lo = hi
@@ -93,7 +94,11 @@ def words(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray,
     return hashes, starts, ends, np.searchsorted(starts, offsets), raw
 
 
-def _block(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _block(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, marks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -101,6 +106,8 @@ def _block(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     cut = np.ones(n + 1, dtype=bool)  # a word can't run across position i
     cut[1:n] = ~inside[:-1] | ~inside[1:]
     cut[offsets] = True
+    if marks:
+        cut[1:n] |= ((raw[1:] == 44) | (raw[1:] == 46)) & _LETTER[raw[:-1]] & cut[2:]
     starts = np.flatnonzero(cut[:n] & inside)
     ends = np.flatnonzero(cut[1:] & inside) + 1
     sums = np.empty(n + 1, dtype=np.uint64)

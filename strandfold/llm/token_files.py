@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from strandfold.llm import encoding
 from strandfold.llm.bpe import tokenizer_file
-from strandfold.llm.shared import parts, shared_dir, table
+from strandfold.llm.shared import kept, parts, shared_dir, table
 
 STRIPE_BYTES = 32 << 20
 ROW_STRIDE = 2000
 END_ID = 2
 
 
-def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", part_bytes: int = 8 << 20) -> None:
+def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", part_bytes: int = 24 << 20) -> None:
     """Encode every whole text (null: empty), append end_id, write (key, ids) to the folder out.
 
     Files are in key order by name and sorted inside; rows with equal keys are put in the
@@ -36,17 +36,16 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, key
     """
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    end = np.array([end_id], dtype=np.uint32).tobytes()
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoding.pieces(path, False)
+        words = encoding.word_table(path)
         for b in bs:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for s in encoding.chunks(texts):
-                ids = [x + end for x in pieces.encode(texts[s])]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
+            lo = 0
+            for texts in encoding.slices(b.column(1)):
+                ids, offsets = words.encode(texts, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), lists], ["doc_id", "ids"])
+                lo += len(texts)
 
     ranged = docs.repartitionByRange(parts(docs, part_bytes), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     tokens = ranged.mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -77,6 +76,7 @@ def token_index(spark: SparkSession, out: str, kind: str = "bigint") -> DataFram
 
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     rows = read_tokens(spark, out, kind).select(name.alias("file"), "doc_id", "ids").mapInArrow(run, f"file string, doc_id {kind}, n_tokens long, ids_crc32 long")
+    rows = kept(rows)  # used twice; the files are read once
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
