@@ -41,6 +41,26 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return docs.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, exact): exact says whether the ids decode to the very text. Nulls and keys as in encoded()."""
+    docs = docs.select(key, text)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = encoding.pieces(path, True)
+        for b in bs:
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            for s in encoding.chunks(texts):
+                ids = [np.frombuffer(x, dtype=np.uint32) for x in pieces.encode(texts[s])]
+                back = pieces.t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+                n = [len(x) for x in ids]
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array(n, pa.int64()), lists, pa.array([x == y for x, y in zip(back, texts[s])])], [key, "n_tokens", "ids", "exact"])
+
+    return docs.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, exact boolean")
+
+
 def decoded(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) from (key, ids), special tokens written out; null ids give an empty text."""
     tokens = tokens.select(key, ids)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +156,32 @@ def learn(rows: DataFrame) -> Discriminant | None:
     return fit(m[:, 0], m[:, 1 : 1 + p], m[:, 1 + p :].reshape(2, p, p))
 
 
+def prepared(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[DataFrame, Discriminant | None]:
+    """(id, x, held_out) of every row, stored, and the discriminant of the labelled rows that aren't held out."""
+    rest = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS))
+    x = stored(vectors(docs, key, text).withColumn("held_out", F.coalesce(rest == 0, F.lit(False))), "quality-vectors")
+    marks = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    return x, learn(x.where("not held_out").join(marks, "id").select("x", "y"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, that score at least threshold (all, if nothing could be learned).
+
+    Each row is scored by its own text in place, so rows with equal or null keys are told apart
+    and nothing is shuffled.
+    """
+    _, model = prepared(docs, labels, key, text, label)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        column = pa.array(texts, pa.string())
+        return pd.Series(np.concatenate([model.score(features(column.slice(lo, 1000))) for lo in range(0, len(column), 1000)] or [np.zeros(0)]))
+
+    return docs.where(score(F.col(text)) >= threshold)
+
+
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(key, held_out, score, predicted) of every row of docs.
 
@@ -163,10 +190,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     document are left out; a key labelled twice counts twice. Without two rows of each class
     every score is 0.5. Equal texts have equal scores. Other columns aren't read.
     """
-    rest = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS))
-    x = stored(vectors(docs, key, text).withColumn("held_out", F.coalesce(rest == 0, F.lit(False))), "quality-vectors")
-    marks = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    model = learn(x.where("not held_out").join(marks, "id").select("x", "y"))
+    x, model = prepared(docs, labels, key, text, label)
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bs:
