@@ -3,8 +3,8 @@
 The lexicon is the terms whose inverse document frequency lies in a band: terms of very many
 documents say nothing, terms of a single one are mostly slips. From it come, by hash alone,
 nested samples (level l keeps one term in 4**l) and in each level SUBSETS random subsets
-(each keeps one term in SPARSE). A text uses the two levels that leave it about 8 to 32, and
-2 to 8, of its distinct terms, so that long and short texts both have subsets with a few
+(each keeps one term in SPARSE). A text uses the two levels that leave it about 16 to 64, and
+4 to 16, of its distinct terms, so that long and short texts both have subsets with a few
 terms. For each subset its terms are sorted, told apart and hashed; two texts are as alike
 as the share of equal hashes among the subsets that either has terms in.
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from strandfold.llm.shared import stored, table
 
-SUBSETS, SPARSE = 32, 8
-LEAST_TERMS = 8
+SUBSETS, SPARSE = 32, 16
+LEAST_TERMS = 16
 #: The band: at least MIN_DOCS documents, at most this share of all.
 MIN_DOCS, MOST_SHARE = 2, 0.01
 BUCKET_ROWS, MOST_BUCKETS = 2000, 20_000
