@@ -49,8 +49,8 @@ def _in_level(term: Column, at: Column) -> Column:
 
 
 def sampled(all_terms: Column) -> Column:
-    """struct(level, terms): the terms that a text keeps if its lexicon were all terms."""
-    return _let(all_terms, lambda t: _let(level(F.size(t)), lambda s: F.struct(s.alias("level"), F.filter(t, lambda x: _in_level(x, s)).alias("terms"))))
+    """struct(level, whole, terms): the terms that a text keeps if its lexicon were all terms, and a hash of all its terms."""
+    return _let(all_terms, lambda t: _let(level(F.size(t)), lambda s: F.struct(s.alias("level"), F.xxhash64(F.array_sort(t)).alias("whole"), F.filter(t, lambda x: _in_level(x, s)).alias("terms"))))
 
 
 def subset_hashes(kept: Column) -> Column:
@@ -63,12 +63,19 @@ def subset_hashes(kept: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
 
 
-def fingerprint(at: Column, in_band: Column) -> Column:
-    """struct(level, a, b): the subset hashes of a text at its level and at the next sparser one."""
-    return _let(
+def fingerprint(at: Column, whole: Column, in_band: Column) -> Column:
+    """struct(level, a, b): the subset hashes of a text at its level and at the next sparser one.
+
+    A text that has no hash in either has level -1 and the hash of all its terms, so that it
+    is like texts with the very same terms only.
+    """
+    some = lambda x: F.exists(x, lambda h: h.isNotNull())
+    own = _let(
         F.array_sort(in_band),
         lambda t: F.struct(at.alias("level"), subset_hashes(t).alias("a"), subset_hashes(F.filter(t, lambda x: _in_level(x, at + 1))).alias("b")),
     )
+    alone = F.struct(F.lit(-1).alias("level"), F.array(whole.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.array().cast("array<bigint>").alias("b"))
+    return _let(own, lambda f: F.when(some(f["a"]) | some(f["b"]), f).otherwise(alone))
 
 
 def shown(fp: Column) -> Column:
@@ -79,8 +86,7 @@ def shown(fp: Column) -> Column:
 def likeness(x: Column, y: Column) -> Column:
     """The share of equal hashes among the subsets of a common level that x or y has terms in.
 
-    Fingerprints without any term are alike (1) if they are equal; levels more than one
-    apart have nothing in common (0).
+    Levels more than one apart have nothing in common (0).
     """
     pairs = (
         F.when(x["level"] == y["level"], F.arrays_zip(F.concat(x["a"], x["b"]).alias("p"), F.concat(y["a"], y["b"]).alias("q")))
@@ -132,8 +138,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """Fingerprints of every text and of the text with its second half replaced by the start of the next one.
 
     (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). A
-    null text is an empty one; a text without terms of the band has the fingerprint without
-    hashes. Rows of one key with one text are fingerprinted once and given back as often.
+    null text is an empty one; a text without terms of the band is like texts
+    of the same terms only. Rows of one key with one text are fingerprinted once and given back as often.
     Other columns aren't read. An empty table gives an empty result.
     """
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -148,7 +154,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     used = base.dropDuplicates(["row"]).select("row", "t", "e", F.explode(F.array_union("t.terms", "e.terms")).alias("term")).select("row", "term", role.cast("byte").alias("role"))
     found = used.join(lexicon(docs, n_docs), "term").groupBy("row").agg(F.collect_list(F.struct("term", "role")).alias("found"))
     of = lambda bit: F.transform(F.filter(F.coalesce("found", F.array().cast("array<struct<term:bigint,role:tinyint>>")), lambda x: x["role"].bitwiseAND(F.lit(bit).cast("byte")) > 0), lambda x: x["term"])
-    out = base.join(found, "row", "left").select("id", "hash", "next_id", "next_hash", "n_chars", "edited_sha256", fingerprint(F.col("t.level"), of(1)).alias("fp"), fingerprint(F.col("e.level"), of(2)).alias("ep"))
+    out = base.join(found, "row", "left").select("id", "hash", "next_id", "next_hash", "n_chars", "edited_sha256", fingerprint(F.col("t.level"), F.col("t.whole"), of(1)).alias("fp"), fingerprint(F.col("e.level"), F.col("e.whole"), of(2)).alias("ep"))
     out = stored(out, "imatch-fingerprints")
     following = out.groupBy(F.col("id").alias("next_id"), F.col("hash").alias("next_hash")).agg(F.first("fp").alias("np"))
     joined = out.join(following, out.next_id.eqNullSafe(following.next_id) & (out.next_hash == following.next_hash))

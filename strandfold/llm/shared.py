@@ -51,9 +51,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: The optimiser's sizes above this (a petabyte) mean that it doesn't know.
+UNKNOWN_BYTES = 1 << 50
+
+
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's size of df, from file lengths; no job runs. Used to choose how many buckets to make."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimiser's size of df, from file lengths, without a job; where it has none, the bytes of all strings are added up."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > UNKNOWN_BYTES:
+        wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+        each = F.lit(8 * len(df.columns)).cast("long")
+        for w in wide:
+            each = each + w
+        size = df.agg(F.sum(each)).first()[0] or 0
+    return max(1, size)
 
 
 def parts(df: DataFrame, part_bytes: int = 8 << 20, least: int = 1) -> int:
