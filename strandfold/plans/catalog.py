@@ -199,7 +199,7 @@ def pair_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_realign(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.merge_pairs(_overlapping(spark, d).where("read_ord < 4000"), REFERENCE, 3).select("read_ord", "qname", "pos", "cigar", "seq", "status")
+    return pairs.merge_pairs(_overlapping(spark, d), REFERENCE, 3).select("read_ord", "qname", "pos", "cigar", "seq", "status")
 
 
 def merge_report(spark: SparkSession, d: str) -> DataFrame:

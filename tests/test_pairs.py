@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandfold.operators import align, coverage, pairs
+from strandfold.plans import catalog
 
 ROW = "read_ord long, qname string, flag int, chr int, pos long, cigar string, seq string, qual binary, bx string"
 
@@ -129,3 +130,22 @@ def test_merge_takes_each_read_once():
     out = pairs.merge_bundle(rows, 3, None)
     pairs_used = sum(2 if r["status"] in ("merged", "discordant") else 1 for r in out)
     assert pairs_used == len(rows)
+
+
+def test_realign_query_takes_every_pair(spark, monkeypatch):
+    orders = [*range(1995, 2010), 7201, 7210, 140_000]  # most have keys that a cap on read_ord would drop
+    monkeypatch.setattr(catalog.fixtures, "reads", lambda spark, d: spark.createDataFrame([(o, "ACGT") for o in orders], "read_ord long, umi string"))
+    got = {}
+    for r in catalog.pair_realign(spark, "").collect():
+        got.setdefault(r.qname.removesuffix(":MERGED"), []).append(r)
+    assert got.keys() == {f"p{o}" for o in orders}
+    for o in orders:
+        offset, start, rows = 5 + o % 25, o * 13 % 1400, got[f"p{o}"]
+        if offset < 20 and o % 9 == 0:
+            assert [r.status for r in rows] == ["discordant"]
+        elif offset > 17:
+            assert [r.status for r in rows] == ["unmerged"] * 2
+        else:
+            (r,) = rows
+            assert r.status == "merged" and r.seq == catalog.REFERENCE[start : start + 20 + offset]
+            assert score(r.seq, catalog.REFERENCE, r.pos, r.cigar) == best(r.seq, catalog.REFERENCE)
