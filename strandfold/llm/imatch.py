@@ -1,15 +1,18 @@
 """I-Match fingerprints over randomised lexicons, in DataFrame functions only.
 
 The lexicon is the terms whose inverse document frequency lies in a band: terms of very many
-documents say nothing, terms of a single one are mostly slips. From it come, by hash alone,
-nested samples (level l keeps one term in 4**l) and in each level SUBSETS random subsets
-(each keeps one term in SPARSE). A text uses the two levels that leave it about 16 to 64, and
-4 to 16, of its distinct terms, so that long and short texts both have subsets with a few
-terms. For each subset its terms are sorted, told apart and hashed; two texts are as alike
-as the share of equal hashes among the subsets that either has terms in.
-
-Document frequencies count every document. They meet the sampled terms by shuffle, never by
-broadcast; a term that all documents share is first added up within each task.
+documents say nothing, terms of a single one are mostly slips. All distinct terms of a text
+meet the band first. What is left is hashed as a whole, and in SUBSETS random subsets; each
+draws its terms by itself, one in SPARSE * 4**l, where l follows from the number of the text's
+terms in the band, so that a subset of a long or a short text has one to four of them. The
+subsets of level l + 1 lie within those of level l, and a text has those of both. Two texts are
+as alike as the share of equal hashes among the subsets, and the whole, that either has terms
+in; so texts of different terms in the band are never told to be the same.
+
+Document frequencies count every document. The terms above the band are at most
+1 / MOST_SHARE times the mean number of distinct terms a text, however many texts there are,
+and are broadcast. Those below it are in one document, and go to it with the shuffle that
+brings each text to the next one. Words that only the seam of an edited text makes are looked up by a join.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from pyspark.sql import functions as F
 from strandfold.llm.shared import stored, table
 
 SUBSETS, SPARSE = 32, 16
+DRAWS = (SPARSE.bit_length() - 1) // 2
 LEAST_TERMS = 16
 #: The band: at least MIN_DOCS documents, at most this share of all.
 MIN_DOCS, MOST_SHARE = 2, 0.01
 BUCKET_ROWS, MOST_BUCKETS = 2000, 20_000
+#: Cells of the hash table of the terms above the band.
+CELLS = 4096
 _SPLIT = r"[\s\p{Punct}]+"
 
 
@@ -44,54 +50,88 @@ def level(n: Column) -> Column:
     return F.floor(F.log(F.greatest(n / LEAST_TERMS, F.lit(1.0))) / F.log(F.lit(4.0))).cast("int")
 
 
-def _in_level(term: Column, at: Column) -> Column:
-    return F.pmod(F.xxhash64(term, F.lit(101)), F.pow(F.lit(4.0), at).cast("long")) == 0
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def sampled(all_terms: Column) -> Column:
-    """struct(level, whole, terms): the terms that a text keeps if its lexicon were all terms, and a hash of all its terms."""
-    return _let(all_terms, lambda t: _let(level(F.size(t)), lambda s: F.struct(s.alias("level"), F.xxhash64(F.array_sort(t)).alias("whole"), F.filter(t, lambda x: _in_level(x, s)).alias("terms"))))
+def _members(term: Column, draws: Column) -> Column:
+    """64 bits, each set with a chance of one half a draw."""
+    return F.aggregate(draws, F.lit(-1).cast("long"), lambda m, i: m.bitwiseAND(F.xxhash64(term, i)))
 
 
-def subset_hashes(kept: Column) -> Column:
+def _low(bits: Column) -> Column:
+    """The subsets that both halves agree on: one in SPARSE at level 0."""
+    return bits.bitwiseAND(F.shiftrightunsigned(bits, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _draws(at: Column) -> Column:
+    """Each draw leaves a term a quarter of the subsets: DRAWS of them make SPARSE, and each level takes one more."""
+    return F.sequence(F.lit(1), at + DRAWS)
+
+
+def sketch(in_band: Column) -> Column:
+    """struct(n, whole, terms): the number of a text's terms in the band, a hash of all of them, and those in some subset.
+
+    More terms can be added later: the level can only rise, and its subsets lie in those of the lower one.
+    """
+
+    def one(t: Column) -> Column:
+        kept = _let(_draws(level(F.size(t))), lambda d: F.filter(t, lambda x: _low(_members(x, d)) != 0))
+        return F.struct(F.size(t).alias("n"), whole_hash(t).alias("whole"), kept.alias("terms"))
+
+    return _let(in_band, one)
+
+
+def whole_hash(in_band: Column) -> Column:
+    return F.aggregate(in_band, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(F.xxhash64(t, F.lit(102))))
+
+
+def subset_hashes(kept: Column, bits: str) -> Column:
     """One 32-bit hash per subset of the sorted terms in it; null where it has none."""
 
     def one(k: Column) -> Column:
-        mine = F.filter(kept, lambda t: F.pmod(F.xxhash64(t, k), F.lit(SPARSE)) == 0)
+        mine = F.transform(F.filter(kept, lambda z: F.getbit(z[bits], k) == 1), lambda z: z["t"])
         return _let(mine, lambda m: F.when(F.size(m) > 0, F.xxhash64(m).bitwiseAND(F.lit(0xFFFFFFFF))))
 
     return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
 
 
-def fingerprint(at: Column, whole: Column, in_band: Column) -> Column:
-    """struct(level, a, b): the subset hashes of a text at its level and at the next sparser one.
+def fingerprint(sketched: Column, more: Column, all_terms: Column) -> Column:
+    """struct(level, a, b, c): the subset hashes of a text at its level and at the next sparser one, and the hash of the whole.
 
-    A text that has no hash in either has level -1 and the hash of all its terms, so that it
-    is like texts with the very same terms only.
+    more are terms in the band that the sketch lacks. A text without terms in the band has
+    level -1 and the hash of all its terms, so that it is like texts with the very same terms only.
     """
-    some = lambda x: F.exists(x, lambda h: h.isNotNull())
-    own = _let(
-        F.array_sort(in_band),
-        lambda t: F.struct(at.alias("level"), subset_hashes(t).alias("a"), subset_hashes(F.filter(t, lambda x: _in_level(x, at + 1))).alias("b")),
-    )
-    alone = F.struct(F.lit(-1).alias("level"), F.array(whole.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.array().cast("array<bigint>").alias("b"))
-    return _let(own, lambda f: F.when(some(f["a"]) | some(f["b"]), f).otherwise(alone))
+
+    def own(at: Column) -> Column:
+        def masks(t: Column, d: Column) -> Column:
+            m = _members(t, d)
+            return _let(m, lambda x: F.struct(t.alias("t"), _low(x).alias("own"), _low(x.bitwiseAND(F.xxhash64(t, at + (DRAWS + 1)))).alias("sparser")))
+
+        terms_of = F.array_sort(F.concat(sketched["terms"], more))
+        drawn = _let(_draws(at), lambda d: F.filter(F.transform(terms_of, lambda t: masks(t, d)), lambda z: z["own"] != 0))
+        c = F.xxhash64(sketched["whole"].bitwiseXOR(whole_hash(more))).bitwiseAND(F.lit(0xFFFFFFFF))
+        return _let(drawn, lambda k: F.struct(at.alias("level"), subset_hashes(k, "own").alias("a"), subset_hashes(F.filter(k, lambda z: z["sparser"] != 0), "sparser").alias("b"), F.array(c).alias("c")))
+
+    n = sketched["n"] + F.size(more)
+    alone = F.struct(F.lit(-1).alias("level"), F.array(all_terms.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), _none("bigint").alias("b"), _none("bigint").alias("c"))
+    return F.when(n > 0, _let(level(n), own)).otherwise(alone)
 
 
 def shown(fp: Column) -> Column:
     text = lambda a: F.array_join(F.transform(a, lambda h: F.coalesce(F.lpad(F.hex(h), 8, "0"), F.lit("-"))), "")
-    return F.concat_ws(":", fp["level"].cast("string"), text(fp["a"]), text(fp["b"]))
+    return F.concat_ws(":", fp["level"].cast("string"), text(fp["a"]), text(fp["b"]), text(fp["c"]))
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """The share of equal hashes among the subsets of a common level that x or y has terms in.
+    """The share of equal hashes among the subsets of a common level, and the whole, that x or y has terms in.
 
     Levels more than one apart have nothing in common (0).
     """
     pairs = (
-        F.when(x["level"] == y["level"], F.arrays_zip(F.concat(x["a"], x["b"]).alias("p"), F.concat(y["a"], y["b"]).alias("q")))
-        .when(x["level"] == y["level"] - 1, F.arrays_zip(x["b"].alias("p"), y["a"].alias("q")))
-        .when(x["level"] == y["level"] + 1, F.arrays_zip(x["a"].alias("p"), y["b"].alias("q")))
+        F.when(x["level"] == y["level"], F.arrays_zip(F.concat(x["a"], x["b"], x["c"]).alias("p"), F.concat(y["a"], y["b"], y["c"]).alias("q")))
+        .when(x["level"] == y["level"] - 1, F.arrays_zip(F.concat(x["b"], x["c"]).alias("p"), F.concat(y["a"], y["c"]).alias("q")))
+        .when(x["level"] == y["level"] + 1, F.arrays_zip(F.concat(x["a"], x["c"]).alias("p"), F.concat(y["b"], y["c"]).alias("q")))
         .otherwise(F.array().cast("array<struct<p:bigint,q:bigint>>"))
     )
     some = F.size(F.filter(pairs, lambda z: z["p"].isNotNull() | z["q"].isNotNull()))
@@ -99,9 +139,12 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(some > 0, same / some).otherwise(F.when(x == y, 1.0).otherwise(0.0))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, rare: DataFrame | None = None) -> DataFrame:
     """(id, text) with next_id and next_text by ascending id; the last is followed by the first.
 
+    rare (id, hash, rare) adds the columns rare and next_rare, null for texts that aren't in it: its
+    rows go with the texts, each before the one of its id and hash.
+
     Ids are cut into ranges of about BUCKET_ROWS rows at quantiles, and each range is sorted
     by itself; the first row of each range follows the last of the range before. Equal ids
     are ordered by a hash of their text; null ids come first.
@@ -111,27 +154,48 @@ def with_next(docs: DataFrame) -> DataFrame:
     cuts = docs.approxQuantile("id", [i / pieces for i in range(1, pieces)], 0.1 / pieces) if pieces > 1 else []
     bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<long>")
     bucket = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    rows = docs.withColumn("bucket", bucket)
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", F.xxhash64("text").alias("h"), "text")).alias("head"))
-    heads = stored(heads.select("bucket", F.col("head.id").alias("head_id"), F.col("head.text").alias("head_text")), "range-heads")
+    order = [F.col("id").asc_nulls_first(), "hash", "kind", "text"]
+    rows = docs.select("id", "text", F.xxhash64("text").alias("hash"), F.lit(1).alias("kind"), F.lit(None).cast("array<bigint>").alias("rare")).withColumn("bucket", bucket)
+    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "hash", "text")).alias("head")).select("bucket", "head.id", "head.hash", "head.text")
+    if rare is None:
+        heads = heads.withColumn("rare", F.lit(None).cast("array<bigint>"))
+    else:
+        of = rare.select(F.col("id").alias("rare_id"), F.col("hash").alias("rare_hash"), "rare")
+        heads = heads.join(of, F.col("id").eqNullSafe(F.col("rare_id")) & (F.col("hash") == F.col("rare_hash")), "left")
+    heads = stored(heads.select("bucket", F.col("id").alias("head_id"), F.col("text").alias("head_text"), F.col("rare").alias("head_rare")), "range-heads")
     following = Window.orderBy("o")
     ring = heads.select("bucket").withColumn("o", F.col("bucket"))
     ring = ring.withColumn("then", F.coalesce(F.lead("bucket").over(following), F.first("bucket").over(following))).drop("o")
-    heads = F.broadcast(ring.join(heads.withColumnRenamed("bucket", "then"), "then").select("bucket", "head_id", "head_text")) if pieces <= 64 else ring.join(heads.withColumnRenamed("bucket", "then"), "then").select("bucket", "head_id", "head_text")
+    heads = ring.join(heads.withColumnRenamed("bucket", "then"), "then").drop("then")
+    heads = F.broadcast(heads) if pieces <= 64 else heads
     w = Window.partitionBy("bucket").orderBy(*order)
-    after = F.lead(F.struct("id", "text")).over(w)
-    return (
-        rows.withColumn("after", after)
-        .join(heads, "bucket")
-        .select("id", "text", F.when(F.col("after").isNull(), F.col("head_id")).otherwise(F.col("after.id")).alias("next_id"), F.when(F.col("after").isNull(), F.col("head_text")).otherwise(F.col("after.text")).alias("next_text"))
-    )
+    if rare is not None:
+        rows = rows.unionByName(rare.select("id", F.lit(None).cast("string").alias("text"), "hash", F.lit(0).alias("kind"), "rare").withColumn("bucket", bucket))
+        before = F.lag(F.struct("kind", "id", "hash", "rare")).over(w)
+        mine = (F.col("before.kind") == 0) & F.col("before.id").eqNullSafe(F.col("id")) & (F.col("before.hash") == F.col("hash"))
+        rows = rows.withColumn("before", before).where("kind = 1").withColumn("rare", F.when(mine, F.col("before.rare"))).drop("before")
+    last = F.col("after").isNull()
+    out = rows.withColumn("after", F.lead(F.struct("id", "text", "rare")).over(w)).join(heads, "bucket")
+    out = out.select("id", "text", F.when(last, F.col("head_id")).otherwise(F.col("after.id")).alias("next_id"), F.when(last, F.col("head_text")).otherwise(F.col("after.text")).alias("next_text"), "rare", F.when(last, F.col("head_rare")).otherwise(F.col("after.rare")).alias("next_rare"))
+    return out.drop("rare", "next_rare") if rare is None else out
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(term, df, id, hash): every term of (id, text), with how many documents have it and, if it is one, which."""
+    found = docs.select("id", F.xxhash64("text").alias("hash"), F.explode(terms(F.col("text"))).alias("term"))
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.max("id").alias("id"), F.max("hash").alias("hash"))
+
+
+def _cell(term: Column) -> Column:
+    return F.pmod(term, F.lit(CELLS)).cast("int")
 
 
-def lexicon(docs: DataFrame, n_docs: int) -> DataFrame:
-    """(term) of the band, as hashes, from all documents of (id, text)."""
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counts.where(F.col("df").between(MIN_DOCS, max(MIN_DOCS, int(MOST_SHARE * n_docs)))).select("term")
+def hashed(some: DataFrame) -> DataFrame:
+    """One row: the terms of some as a hash table, an array of CELLS arrays."""
+    cells = some.groupBy(_cell(F.col("term")).alias("cell")).agg(F.collect_list("term").alias("terms"))
+    each = some.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(cells, "cell", "left")
+    pairs = F.array_sort(F.collect_list(F.struct("cell", F.coalesce("terms", _none("bigint")).alias("terms"))))
+    return each.agg(F.transform(pairs, lambda p: p["terms"]).alias("common"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,14 +211,23 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    base = with_next(docs).select("id", "next_id", F.col("text"), n.cast("long").alias("n_chars"), edited.alias("edited"), F.xxhash64("next_text").alias("next_hash"))
-    base = base.select("id", "next_id", "next_hash", F.xxhash64("text").alias("hash"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sampled(terms(F.col("text"))).alias("t"), sampled(terms(F.col("edited"))).alias("e"))
+    # A term below the band is in a single document (MIN_DOCS is 2).
+    most = max(MIN_DOCS, int(MOST_SHARE * n_docs))
+    all_terms = stored(counted(docs), "imatch-terms")
+    rare = all_terms.where(F.col("df") < MIN_DOCS).groupBy("id", "hash").agg(F.collect_list("term").alias("rare"))
+    common = stored(hashed(all_terms.where(F.col("df") > most)), "imatch-common")
+    base = with_next(docs, rare).select(
+        "id", "next_id", F.xxhash64("next_text").alias("next_hash"), F.xxhash64("text").alias("hash"), n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
+        terms(F.col("text")).alias("t"), terms(edited).alias("e"), terms(F.col("next_text")).alias("x"), F.coalesce("rare", _none("bigint")).alias("rare"), F.coalesce("next_rare", _none("bigint")).alias("next_rare"),
+    )
+    below_top = lambda of: F.filter(of, lambda t: ~F.array_contains(F.get(F.col("common"), _cell(t)), t))
+    base = base.crossJoin(F.broadcast(common)).withColumns({"e_all": F.xxhash64(F.array_sort("e")), "t_all": F.xxhash64(F.array_sort("t")), "seam": below_top(F.array_except(F.array_except("e", "t"), F.col("x"))), "t_band": F.array_except(below_top(F.col("t")), F.col("rare")), "e_low": below_top(F.col("e"))})
+    e_band = F.array_except(F.array_except(F.array_except("e_low", "seam"), F.col("rare")), F.col("next_rare"))
+    base = base.select("id", "next_id", "next_hash", "hash", "n_chars", "edited_sha256", "t_all", "e_all", "seam", sketch(F.col("t_band")).alias("t"), sketch(e_band).alias("e"))
     base = stored(base, "imatch-texts").withColumn("row", F.xxhash64("id", "hash", "next_id", "next_hash"))
-    role = F.when(F.array_contains("t.terms", F.col("term")), 1).otherwise(0) + F.when(F.array_contains("e.terms", F.col("term")), 2).otherwise(0)
-    used = base.dropDuplicates(["row"]).select("row", "t", "e", F.explode(F.array_union("t.terms", "e.terms")).alias("term")).select("row", "term", role.cast("byte").alias("role"))
-    found = used.join(lexicon(docs, n_docs), "term").groupBy("row").agg(F.collect_list(F.struct("term", "role")).alias("found"))
-    of = lambda bit: F.transform(F.filter(F.coalesce("found", F.array().cast("array<struct<term:bigint,role:tinyint>>")), lambda x: x["role"].bitwiseAND(F.lit(bit).cast("byte")) > 0), lambda x: x["term"])
-    out = base.join(found, "row", "left").select("id", "hash", "next_id", "next_hash", "n_chars", "edited_sha256", fingerprint(F.col("t.level"), F.col("t.whole"), of(1)).alias("fp"), fingerprint(F.col("e.level"), F.col("e.whole"), of(2)).alias("ep"))
+    seams = base.dropDuplicates(["row"]).select("row", F.explode("seam").alias("term"))
+    found = seams.join(all_terms.where(F.col("df").between(MIN_DOCS, most)).select("term"), "term").groupBy("row").agg(F.collect_list("term").alias("more"))
+    out = base.join(found, "row", "left").select("id", "hash", "next_id", "next_hash", "n_chars", "edited_sha256", fingerprint(F.col("t"), _none("bigint"), F.col("t_all")).alias("fp"), fingerprint(F.col("e"), F.coalesce("more", _none("bigint")), F.col("e_all")).alias("ep"))
     out = stored(out, "imatch-fingerprints")
     following = out.groupBy(F.col("id").alias("next_id"), F.col("hash").alias("next_hash")).agg(F.first("fp").alias("np"))
     joined = out.join(following, out.next_id.eqNullSafe(following.next_id) & (out.next_hash == following.next_hash))

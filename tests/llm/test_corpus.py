@@ -1,7 +1,9 @@
 """Near duplicates, leaks, quality, fingerprints, shards, archives and the pipeline against brute force."""
 
+import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -215,6 +217,36 @@ def test_fingerprints(spark):
     assert one.edited_sha256 == hashlib.sha256(b"a a").hexdigest()
 
 
+def test_fingerprints_tell_all_terms_of_the_band_apart(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 20)
+    rng = random.Random(8)
+    some = [" ".join(words(rng, rng.randint(0, 60), 4000)) for _ in range(150)]
+    some += ["d'été " * 3, "été d", "", None, "solitary", "w1", some[4], some[4]]
+    for k in range(6):  # pairs of long texts with 300 terms of the band in common, and one that only the first has
+        both = " ".join(f"long{k}x{i}" for i in range(300))
+        some += [f"{both} lone{k}", both, f"lone{k}"]
+    docs = [(None if i == 9 else i, t, "", "", 0) for i, t in enumerate(some)]
+    got = {r.doc_id: r for r in imatch.fingerprints(frame(spark, docs).repartition(3)).collect()}
+    split = lambda t: {w for w in re.split(r"[\s!-/:-@\[-`{-~]+", (t or "").lower()) if w}
+    df = collections.Counter(w for t in some for w in split(t))
+    most = max(imatch.MIN_DOCS, int(imatch.MOST_SHARE * len(some)))
+    texts = sorted(docs, key=lambda d: -1 if d[0] is None else d[0])
+    known, n_band, n_seam = {}, 0, 0
+    for i, (k, text, *_) in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % len(texts)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        for t, print_ in ((text, got[k].fingerprint), (edited, got[k].edited_fingerprint)):
+            band = frozenset(w for w in split(t) if imatch.MIN_DOCS <= df[w] <= most)
+            n_band += len(band)
+            known.setdefault(band or ("none", frozenset(split(t))), set()).add(print_)
+        n_seam += any(imatch.MIN_DOCS <= df[w] <= most for w in split(edited) - split(text) - split(after))
+        bands = [{w for w in split(t) if imatch.MIN_DOCS <= df[w] <= most} for t in (text, edited)]
+        assert not any(bands) or (got[k].near_edited == 1) == (bands[0] == bands[1])
+    assert n_band > 1000 and n_seam > 0 and all(len(p) == 1 for p in known.values())
+    assert len(set.union(*known.values())) == len(known)
+
+
 def test_next_document_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "BUCKET_ROWS", 10)
     some = [(i * 7 % 1009, f"t{i}", "", "", 0) for i in range(300)]
