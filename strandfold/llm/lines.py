@@ -211,11 +211,13 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
         pairs = pairs.union(_hot_pairs(long.select("h1", "text").distinct(), hot, edits, hot_rows, depth)).distinct()
     side = lambda s: firsts.select(F.col("h1").alias(f"h{s}"), F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(s))
     pairs = stored(pairs.join(side("a"), "ha").join(side("b"), "hb").select("a1", "a2", "b1", "b2", "a", "b"), "line-pairs")
-    needed = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct().select(F.col("p.id").alias("id"), F.col("p.no").alias("no"))
-    texts = stored(_lines(docs).join(small(needed), ["id", "no"]).select(F.struct("id", "no").alias("p"), "line"), "line-texts")
-    text = lambda s: texts.select(F.col("p").alias(s), F.col("line").alias(f"t{s}"))
+    needed = pairs.select(F.col("a").alias("p"), F.col("a1").alias("h1")).union(pairs.select("b", "b1")).distinct().select(F.col("p.id").alias("p_id"), F.col("p.no").alias("p_no"), "h1")
+    # null keys are one place too; the hash tells the lines of documents with one key apart
+    there = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("no") == F.col("p_no")) & (F.xxhash64("line") == F.col("h1"))
+    texts = stored(_lines(docs).join(small(needed), there).select(F.struct("id", "no").alias("p"), "h1", "line"), "line-texts")
+    text = lambda s: texts.select(F.col("p").alias(s), F.col("h1").alias(f"{s}1"), F.col("line").alias(f"t{s}"))
     pieces = 8
-    near = pairs.join(text("a"), "a").join(text("b"), "b").where(surviving(F.col("ta"), F.col("tb"), edits, pieces) >= pieces - edits)
+    near = pairs.join(text("a"), ["a", "a1"]).join(text("b"), ["b", "b1"]).where(surviving(F.col("ta"), F.col("tb"), edits, pieces) >= pieces - edits)
     distance = _let(trimmed(F.col("ta"), F.col("tb"), edits + 1), lambda t: bit_parallel_distance(t["a"], t["b"], edits))
     links = near.where(distance <= edits)
     later = links.select(F.when(F.col("a") < F.col("b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).alias("h"))

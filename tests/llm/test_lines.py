@@ -96,3 +96,13 @@ def test_edges(spark):
     assert got[3].removed == [0, 2] and got[3].text == ""
     assert got[4].removed == [0] and got[5].removed == [0]
     assert lines.deduplicated(df.limit(0)).count() == 0
+
+
+def test_near_lines_of_documents_without_a_key(spark):
+    line = "a line that is long enough to be near another"
+    other = "quite some other words that nobody else has here"
+    rows = [(None, line), (None, other), (1, line + "s"), (2, "mine\n" + line[2:]), (3, other + "!!!"), (4, "x" + other)]
+    got = {(r.doc_id, r.n_lines): list(r.removed) for r in lines.deduplicated(spark.createDataFrame(rows[:1] + rows[2:], "doc_id long, text string")).collect()}
+    assert got == {(None, 1): [], (1, 1): [0], (2, 2): [1], (3, 1): [], (4, 1): []}
+    got = {r.doc_id: list(r.removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id > 0").collect()}
+    assert got == {1: [0], 2: [1], 3: [], 4: [0]}
