@@ -15,13 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType
 
 from strandfold.llm import textnum
-from strandfold.llm.shared import stored, table
+from strandfold.llm.shared import batched, stored, table
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -56,7 +56,15 @@ def _entropy(counts: np.ndarray) -> float:
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """One row of len(NAMES) finite numbers per text; an empty or null text is the row of an empty document."""
+    """One row of len(NAMES) finite numbers per text; an empty or null text is the row of an empty document.
+
+    Texts are taken a quarter of a megabyte at a time; a longer one costs some fifty bytes a byte for
+    its words.
+    """
+    return np.concatenate([_features(x) for x in textnum.slices(column, 1 << 18)] or [np.zeros((0, len(NAMES)))])
+
+
+def _features(column: pa.Array) -> np.ndarray:
     h, starts, ends, first, raw = textnum.words(column)
     _, offsets = textnum.batch_bytes(column)
     n = len(first) - 1
@@ -75,9 +83,7 @@ def features(column: pa.Array) -> np.ndarray:
         _, times = np.unique(w, return_counts=True)
         k = e - a
         pairs = len(np.unique(w[1:] * np.uint64(3) + w[:-1])) if k > 1 else 0
-        cut = np.flatnonzero(b == 10)
-        edges = np.concatenate([[-1], cut, [len(b)]])
-        lines = np.add.reduceat(np.append(b.astype(np.uint64) * textnum.powers(np.uint64(0x9E3779B97F4A7C15), 4096)[np.arange(len(b)) % 4096], np.uint64(0)), np.minimum(edges[:-1] + 1, len(b)))
+        lines = textnum.lines(b)
         out[i] = (
             np.log1p(k), np.log(length.mean()), root(upper, upper + lower), root(digits, full), root(marks, full), root(signs, full), root(bars, full), root(shouts, full), root(high, full), np.log1p(newline) - np.log1p(k),
             share(len(times), k ** 0.8), root((w[1:] == w[:-1]).sum(), k), share(pairs, max(1, k - 1)), share(len(np.unique(lines)), len(lines)), root(_SIGNS[raw[ends[a:e] - 1]].sum(), k), root(((raw[starts[a:e]] >= 65) & (raw[starts[a:e]] <= 90)).sum(), k),
@@ -117,17 +123,20 @@ def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, pooled: float
     return Discriminant(means, np.array(factors), np.array(dets), float(np.log(counts[1] / counts[0])))
 
 
-def vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, x binary) of every row: its features as float64."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), text)
+def _packed(x: np.ndarray) -> pa.Array:
+    """Each row's numbers as one binary value."""
+    wide = x.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
-    def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in bs:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in features(b.column(1))], pa.binary())], ["id", "x"])
 
-    return docs.mapInArrow(run, "id long, x binary")
+@F.arrow_udf(BinaryType())
+def _vector(texts: pa.Array) -> pa.Array:
+    return _packed(features(texts))
+
+
+def vectors(docs: DataFrame, text: str) -> DataFrame:
+    """docs plus __x, the features of each row's text as float64 numbers in a binary."""
+    return batched(docs).withColumn("__x", _vector(F.col(text)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -156,30 +165,39 @@ def learn(rows: DataFrame) -> Discriminant | None:
     return fit(m[:, 0], m[:, 1 : 1 + p], m[:, 1 + p :].reshape(2, p, p))
 
 
-def prepared(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[DataFrame, Discriminant | None]:
-    """(id, x, held_out) of every row, stored, and the discriminant of the labelled rows that aren't held out."""
-    rest = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS))
-    x = stored(vectors(docs, key, text).withColumn("held_out", F.coalesce(rest == 0, F.lit(False))), "quality-vectors")
-    marks = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    return x, learn(x.where("not held_out").join(marks, "id").select("x", "y"))
+def prepared(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", carry: list[str] | None = None) -> tuple[DataFrame, Discriminant | None]:
+    """(__id, held_out, __x, and the columns to carry) of every row, stored, and the discriminant of the labelled rows that aren't held out.
+
+    Each text's features are computed once; what learns and scores reads them from the table.
+    """
+    rest = F.pmod(F.crc32(F.col(key).cast("long").cast("string").cast("binary")), F.lit(FOLDS))
+    x = vectors(docs.select(F.col(key).cast("long").alias("__id"), F.coalesce(rest == 0, F.lit(False)).alias("held_out"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry or []], F.col(text).alias("__text")), "__text").drop("__text")
+    x = stored(x, "quality-vectors")
+    marks = labels.select(F.col(key).cast("long").alias("__id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    return x, learn(x.where("not held_out").join(marks, "__id").select("__x", "y"))
+
+
+def _scores(model: Discriminant | None):
+    """A column function: the score of the features in a binary column; 0.5 without a model."""
+
+    @F.arrow_udf(DoubleType())
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(x)))
+
+    return score if model else lambda x: F.lit(0.5)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns as they are, that score at least threshold (all, if nothing could be learned).
 
-    Each row is scored by its own text in place, so rows with equal or null keys are told apart
-    and nothing is shuffled.
+    Rows travel with their features in one stored table, so rows with equal or null keys are
+    told apart and only the labelled rows' features are shuffled. Null and empty texts, very
+    long ones, ties and empty tables are as in scored(). Clashing column names do no harm.
     """
-    _, model = prepared(docs, labels, key, text, label)
-    if model is None:
-        return docs
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.string())
-        return pd.Series(np.concatenate([model.score(features(column.slice(lo, 1000))) for lo in range(0, len(column), 1000)] or [np.zeros(0)]))
-
-    return docs.where(score(F.col(text)) >= threshold)
+    x, model = prepared(docs, labels, key, text, label, docs.columns)
+    if model:
+        x = x.where(_scores(model)(F.col("__x")) >= threshold)
+    return x.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -187,17 +205,15 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     Learns from labelled rows whose crc32 of the key as text isn't 0 modulo FOLDS. A row with a
     null key is scored, in no fold and never learned from. Null labels and keys without a
-    document are left out; a key labelled twice counts twice. Without two rows of each class
-    every score is 0.5. Equal texts have equal scores. Other columns aren't read.
+    document are left out; a key labelled twice counts twice, and so does a repeated row.
+    Without two rows of each class every score is 0.5. Equal texts have equal scores; a null
+    text is an empty one, and a very long one is read whole, in blocks. An empty table gives
+    an empty result. Other columns aren't read.
     """
     x, model = prepared(docs, labels, key, text, label)
-
-    def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bs:
-            s = model.score(_matrix(b.column(2))) if model else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [key, "held_out", "score", "predicted"])
-
-    return x.select("id", "held_out", "x").mapInArrow(run, f"`{key}` long, held_out boolean, score double, predicted int")
+    score = _scores(model)(F.col("__x"))
+    out = x.select(F.col("__id").alias(key), "held_out", score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op3_shrunk_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ operations per byte, with no Python object per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(20240613))
 _TABLE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -34,6 +37,29 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def power_at(base: np.uint64, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64, from two short tables however large the exponents are."""
+    high = powers(np.uint64(pow(int(base), 1 << 16, 2**64)), int(at.max() >> 16) + 1 if len(at) else 1)
+    return high[at >> 16] * powers(base, 1 << 16)[at & 0xFFFF]
+
+
+def lines(raw: np.ndarray) -> np.ndarray:
+    """A hash of each line of one text (bytes between newlines), the same wherever the line lies.
+
+    Sums are taken over blocks, so a long text costs a few machine words a byte of one block.
+    """
+    starts = np.append(0, np.flatnonzero(raw == 10) + 1)
+    sums = np.zeros(len(starts), np.uint64)
+    for lo in range(0, len(raw), _BLOCK):
+        some = raw[lo : lo + _BLOCK]
+        a, b = int(np.searchsorted(starts, lo, side="right")) - 1, int(np.searchsorted(starts, lo + len(some)))
+        value = _TABLE[some] * powers(_R, len(some)) * power_at(_R, np.array([lo], np.int64))
+        value[some == 10] = 0
+        sums[a:b] += np.add.reduceat(value, np.maximum(starts[a:b], lo) - lo)
+    length = np.diff(np.append(starts, len(raw) + 1)) - 1
+    return mix(sums * power_at(_R_INV, starts) + length.astype(np.uint64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -58,6 +84,18 @@ def batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - (offsets[0] if len(offsets) else 0)
 
 
+def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """Consecutive parts of a string column with about size bytes each; a longer text is a part by itself."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n, lo = len(column), 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
 #: Bytes hashed at once; a few dozen bytes of memory each.
 _BLOCK = 2 << 20
 

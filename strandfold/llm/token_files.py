@@ -1,4 +1,4 @@
-"""Token ids as ORC: documents in ascending key order, one file per range of keys.
+"""Token ids as ORC: documents in ascending key order, one part per range of keys.
 
 Spark's ORC writer stores the ids run-length encoded (version 2: short repeats, direct,
 patched base or delta, chosen per 512 values), with a row index each ROW_STRIDE rows and a
@@ -14,75 +14,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandfold.llm import encoding
+from strandfold.llm import encoding, textnum
 from strandfold.llm.bpe import tokenizer_file
-from strandfold.llm.shared import kept, parts, shared_dir, table
+from strandfold.llm.shared import batched, parts, shared_dir, stored, table
 
-STRIPE_BYTES = 32 << 20
-ROW_STRIDE = 2000
+STRIPE_BYTES = 4 << 20
+ROW_STRIDE = 1000
 END_ID = 2
 
 
-def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", part_bytes: int = 24 << 20) -> None:
-    """Encode every whole text (null: empty), append end_id, write (key, ids) to the folder out.
+def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", part_bytes: int = 12 << 20) -> None:
+    """Encode every whole text (null: empty), append end_id, write (key, part, at, ids) to the folder out.
 
-    Files are in key order by name and sorted inside; rows with equal keys are put in the
-    order of a hash of their text, and may go to more than one file, so no key is too big
-    for a task; null keys come first. Other columns aren't read. An empty table gives an
-    empty folder that reads as no rows.
+    A part is one range of keys, written by one task; at counts its rows from 0. The order of
+    documents is that of (part, at), whatever the files are called: by key, rows with equal
+    keys by a hash of their text (they may go to more than one part, so no key is too big
+    for a task), null keys first. A very long text is one row, encoded whole. Other columns
+    aren't read. An empty table gives an empty folder that reads as no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    docs = batched(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoding.word_table(path)
+        words, part, at = encoding.word_table(path), TaskContext.get().partitionId(), 0
         for b in bs:
             lo = 0
-            for texts in encoding.slices(b.column(1)):
+            for texts in textnum.slices(b.column(1)):
+                n = len(texts)
                 ids, offsets = words.encode(texts, end_id)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), lists], ["doc_id", "ids"])
-                lo += len(texts)
+                columns = [b.column(0).slice(lo, n), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "ids"])
+                lo, at = lo + n, at + n
 
     ranged = docs.repartitionByRange(parts(docs, part_bytes), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    tokens = ranged.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    tokens = ranged.mapInArrow(run, f"doc_id {kind}, part int, at long, ids array<int>")
     options = {"compression": "zstd", "orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": ROW_STRIDE, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
     tokens.write.options(**options).orc(out)
 
 
 def read_tokens(spark: SparkSession, out: str, kind: str = "bigint") -> DataFrame:
-    """(doc_id, ids) of a written folder; a filter on doc_id is pushed to the files' indexes and Bloom filters."""
-    return spark.read.schema(f"doc_id {kind}, ids array<int>").orc(out)
+    """(doc_id, part, at, ids) of a written folder; a filter on doc_id is pushed to the files' indexes and Bloom filters."""
+    return spark.read.schema(f"doc_id {kind}, part int, at long, ids array<int>").orc(out)
 
 
 def token_index(spark: SparkSession, out: str, kind: str = "bigint") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, all from the files read back.
 
-    start counts the ids before the document in file order: a running sum inside each file
-    (a file is one range of keys) plus the sum of the files before it.
+    start counts the ids before the document in the order of (part, at): a running sum inside
+    each part plus the sum of the parts before it. Null, equal and repeated keys keep the
+    places that they were written to. An empty folder gives an empty result.
     """
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bs:
-            lists = b.column(2)
+            lists = b.column(3)
             at = lists.offsets.to_numpy()
             flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")
             n = np.diff(at).astype(np.int64)
             crc = [zlib.crc32(flat[a:e]) for a, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
-
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    rows = read_tokens(spark, out, kind).select(name.alias("file"), "doc_id", "ids").mapInArrow(run, f"file string, doc_id {kind}, n_tokens long, ids_crc32 long")
-    rows = kept(rows)  # used twice; the files are read once
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "part", "at", "n_tokens", "ids_crc32"])
+
+    rows = batched(read_tokens(spark, out, kind)).mapInArrow(run, f"doc_id {kind}, part int, at long, n_tokens long, ids_crc32 long")
+    rows = stored(rows, "token-counts")  # used twice; the files are read once
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    return rows.withColumn("within", within).join(files, "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.withColumn("within", within).join(totals, "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
