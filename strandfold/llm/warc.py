@@ -2,10 +2,13 @@
 
 Pages are written as WARC/1.0 response records, each a gzip member of its own, into files of
 the shared folder; the manifest has file, number, offset and length of every record. A
-replica is audited by hashing the byte range of each record as it lies there, then FANOUT
-neighbouring ranges into one node, up to one root a file and one root of all files. Roots are
-compared first, and only the children of nodes that differ are looked at further, so that
-equal parts of two replicas cost one comparison.
+replica is audited by hashing the byte range of each record as it lies there, and as a last
+leaf of each file its length and the bytes behind its last record. FANOUT neighbouring leaves
+make one node, up to one root a file. Files, those of the manifest and any others that lie in
+the folder, are dealt into slots by a hash of their name; slots are the ordered leaves of the
+tree above, which ends in one root of the replica. Replica roots are compared first, and only
+the children of nodes that differ are looked at further, so equal parts of two replicas cost
+one comparison, and a file too many or too few doesn't shift the others.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -21,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm.shared import parts, shared_dir, stored, table
+from strandfold.llm.shared import batched, parts, shared_dir, stored, table
 
 FANOUT = 16
 FILE_BYTES = 4 << 20
+#: Bytes read at once.
+PIECE = 1 << 20
+RECORDS = "array<struct<number:bigint,id:bigint,offset:bigint,length:bigint>>"
 MANIFEST = "file string, number long, id long, offset long, length long"
 
 
@@ -58,12 +65,14 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
 def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """The manifest, stored: one row per row of pages, whose records now lie in the folder out.
 
-    Pages are spread by a hash of key and url and ordered by key within a file. A null html is an empty block;
-    a null key or url is written as none. A task that runs again writes the same bytes under
+    Pages are spread by a hash of all three columns and ordered by key within a file. A null html
+    is an empty block; a null key or url is written as none; a very long page is one record.
+    Repeated rows are records of their own. An empty table makes no file and an empty
+    manifest. Other columns aren't read. A task that runs again writes the same bytes under
     another name and then moves them to the file's name.
     """
     n = parts(pages, file_bytes)
-    pages = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    pages = batched(pages).select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     pages = pages.repartition(n, F.xxhash64("id", "url", F.crc32(F.col("html").cast("binary")))).sortWithinPartitions("id", "url", "html")
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +104,14 @@ def _files(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("number", "id", "offset", "length"))).alias("records"))
 
 
+def _spread(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """files over as many tasks as their records are worth: a file's records are read by one task."""
+    return files.repartition(parts(manifest, 64 << 10), "file")
+
+
 def replicate(manifest: DataFrame, source: str, target: str, decayed: list | None = None) -> None:
     """Copy the files to another folder. decayed: (modulus, rest) of record ids that lose a bit on the way, for drills and tests."""
-    rows = _files(manifest)
+    rows = _spread(_files(manifest), manifest)
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, src = _place(source)
@@ -105,97 +119,162 @@ def replicate(manifest: DataFrame, source: str, target: str, decayed: list | Non
         to.create_dir(dst, recursive=True)
         for b in bs:
             for file, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with fs.open_input_stream(f"{src}/{file}", compression=None) as f:
-                    raw = bytearray(f.read())
-                for r in records if decayed else []:
-                    if r["id"] is not None and r["id"] % decayed[0] == decayed[1]:
-                        raw[r["offset"] + r["length"] // 2] ^= 0x10
                 trying = f"{dst}/.{file}.{TaskContext.get().taskAttemptId()}"
-                with to.open_output_stream(trying, compression=None) as f:
-                    f.write(bytes(raw))
+                with fs.open_input_file(f"{src}/{file}") as f, to.open_output_stream(trying, compression=None) as g:
+                    for r in records:  # records lie one behind the other, in order
+                        raw = bytearray(f.read(r["length"]))
+                        if decayed and raw and r["id"] is not None and r["id"] % decayed[0] == decayed[1]:
+                            raw[len(raw) // 2] ^= 0x10
+                        g.write(bytes(raw))
+                    while raw := f.read(PIECE):
+                        g.write(raw)
                 to.move(trying, f"{dst}/{file}")
             yield pa.RecordBatch.from_arrays([b.column(0)], ["file"])
 
     rows.mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes) of the files that lie in a replica's folder now (no hidden ones); none if there is no such folder."""
+    fs, place = _place(folder)
+    if fs.get_file_info(place).type != pafs.FileType.Directory:
+        return spark.createDataFrame([], "file string, bytes long")
+    uri = folder if "://" in folder else f"file://{place}"
+    found = spark.read.format("binaryFile").load(uri)  # only names and lengths are read
+    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"))
+
+
 def leaves(manifest: DataFrame, folder: str) -> DataFrame:
-    """(file, number, id, offset, length, hash) of each record's byte range in a replica; a range that isn't there has the hash of what is."""
-    rows = _files(manifest)
+    """(file, number, id, offset, length, hash) of each record's byte range in a replica, and behind each file's records its tail.
+
+    A range that isn't there has the hash of what is. The tail's hash covers the file's length
+    and all bytes behind the last record; a file that isn't in the manifest is all tail, and
+    a missing one has a tail that says so. Bytes are read piece by piece, never a whole file.
+    """
+    rows = _files(manifest).join(listing(manifest.sparkSession, folder), "file", "full").select("file", F.coalesce("records", F.array().cast(RECORDS)).alias("records"), "bytes")
+    rows = _spread(rows, manifest)
+    names = ["file", "number", "id", "offset", "length", "hash"]
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, place = _place(folder)
         for b in bs:
-            for file, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = memoryview(b"")
-                if fs.get_file_info(f"{place}/{file}").type == pafs.FileType.File:
-                    with fs.open_input_stream(f"{place}/{file}", compression=None) as f:
-                        raw = memoryview(f.read())
-                hashes = [hashlib.sha256(raw[r["offset"] : r["offset"] + r["length"]]).hexdigest() for r in records]
-                columns = [pa.array([file] * len(records))] + [pa.array([r[c] for r in records], pa.int64()) for c in ("number", "id", "offset", "length")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes)], ["file", "number", "id", "offset", "length", "hash"])
+            for file, records, size in zip(*(b.column(i).to_pylist() for i in range(3))):
+                hashes, last = [], max([r["offset"] + r["length"] for r in records], default=0)
+                tail = hashlib.sha256(f"{size}:".encode())
+                if size is None:
+                    hashes = [hashlib.sha256(b"").hexdigest()] * len(records)
+                else:
+                    with fs.open_input_file(f"{place}/{file}") as f:
+                        for r in records:
+                            hashes.append(_range_hash(f, min(r["offset"], size), r["length"]))
+                        f.seek(min(last, size))
+                        while raw := f.read(PIECE):
+                            tail.update(raw)
+                columns = [[r[c] for r in records] + [v] for c, v in (("number", len(records)), ("id", None), ("offset", last), ("length", max(0, (size or 0) - last)))]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * (len(records) + 1)), *[pa.array(x, pa.int64()) for x in columns], pa.array([*hashes, tail.hexdigest()])], names)
 
     return rows.mapInArrow(run, "file string, number long, id long, offset long, length long, hash string")
 
 
-def _above(nodes: DataFrame, level: int, fanout: int) -> DataFrame:
-    """The nodes of the next level: neighbours hashed in order, over the range from the first's start to the last's end."""
-    some = F.sort_array(F.collect_list(F.struct("number", "hash")))
-    up = nodes.groupBy("file", F.floor(F.col("number") / fanout).cast("long").alias("up")).agg(some.alias("s"), F.min("start").alias("start"), F.max("end").alias("end"))
-    return up.select("file", F.lit(level).alias("level"), F.col("up").alias("number"), "start", "end", F.sha2(F.concat_ws("", F.lit(f"node {level}"), F.col("s.hash")), 256).alias("hash"))
+def _range_hash(f: pa.NativeFile, at: int, left: int) -> str:
+    h = hashlib.sha256()
+    f.seek(at)
+    while left > 0 and (raw := f.read(min(left, PIECE))):
+        h.update(raw)
+        left -= len(raw)
+    return h.hexdigest()
+
 
+def _up(nodes: DataFrame, level: int, file: F.Column, number: F.Column) -> DataFrame:
+    """The nodes of a level from their children: hashed in order, over the range from the first's start to the last's end."""
+    some = F.sort_array(F.collect_list(F.struct("number", "file", "hash")))
+    up = nodes.groupBy(file.alias("up_file"), number.alias("up")).agg(some.alias("s"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return up.select(F.col("up_file").alias("file"), F.lit(level).alias("level"), F.col("up").alias("number"), "start", "end", F.sha2(F.concat_ws("", F.lit(f"node {level}"), F.col("s.hash")), 256).alias("hash"))
 
-def tree(manifest: DataFrame, folder: str, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels of a replica's tree, records first; above them one root a file and, with file "", levels over the roots.
 
-    An empty manifest gives levels without rows.
+@dataclass
+class Tree:
+    """The levels of a replica's tree, leaves first; levels[top] and those above are over slots of file names, slots[i] of them."""
+
+    levels: list[DataFrame]
+    top: int
+    slots: int
+
+
+def tree(manifest: DataFrame, folder: str, fanout: int = FANOUT) -> Tree:
+    """The levels (file, level, number, start, end, hash) of a replica's tree, from the leaves to its one root.
+
+    Below, nodes belong to a file, up to number 0 of each; above, with file "", to slots of
+    file names. How many levels there are follows from the manifest alone, so replicas of one
+    manifest can be compared. Without records and files all levels have no rows. Repeated
+    manifest rows are repeated leaves; null ids don't matter, since leaves go by number.
     """
-    own = stored(leaves(manifest, folder).select("file", F.lit(0).alias("level"), "number", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash"), "merkle-0")
-    levels = [own]
-    most = own.agg(F.max("number")).first()[0]
+    own = leaves(manifest, folder).select("file", F.lit(0).alias("level"), "number", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash")
+    levels = [stored(own, "merkle-0")]
+    most, files = manifest.agg(F.max("number"), F.count_distinct("file")).first()
+    most = 1 + (most or 0)  # the tail
     while most:
-        levels.append(stored(_above(levels[-1], len(levels), fanout), "merkle"))
+        levels.append(stored(_up(levels[-1], len(levels), F.col("file"), F.floor(F.col("number") / fanout).cast("long")), "merkle"))
         most //= fanout
-    return levels
+    slots, top = 1, len(levels)
+    while slots < files:
+        slots *= fanout
+    levels.append(stored(_up(levels[-1], top, F.lit(""), _slot(slots)), "merkle"))
+    left = slots
+    while left > 1:
+        levels.append(stored(_up(levels[-1], len(levels), F.lit(""), F.floor(F.col("number") / fanout).cast("long")), "merkle"))
+        left //= fanout
+    return Tree(levels, top, slots)
 
 
-def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> tuple[DataFrame, list[int]]:
-    """The leaves (file, number, hash_a, hash_b) that differ, and how many nodes were compared on each level from the top.
+def _slot(slots: int) -> F.Column:
+    return F.pmod(F.xxhash64("file"), F.lit(slots)).cast("long")
 
-    File roots are compared first; below, only children of nodes that differ.
+
+def differing(a: Tree, b: Tree, fanout: int = FANOUT) -> tuple[DataFrame, list[int]]:
+    """The leaves (file, number, hash_a, hash_b) that differ, and how many nodes were compared on each level from the root.
+
+    The trees must be of one manifest. The roots are compared first; below, only children of
+    nodes that differ. A file that one replica lacks has a null hash on its side.
     """
-    compared, open_nodes = [], None
-    for x, y in zip(reversed(a), reversed(b)):
+    compared, open_nodes, wrong = [], None, None
+    for i in range(len(a.levels) - 1, -1, -1):
+        x, y = a.levels[i], b.levels[i]
         if open_nodes is not None:
-            under = lambda n: n.withColumn("up", F.floor(F.col("number") / fanout).cast("long")).join(open_nodes, ["file", "up"], "left_semi").drop("up")  # noqa: E731, B023
+            parent = _slot(a.slots) if i == a.top - 1 else F.floor(F.col("number") / fanout).cast("long")
+            up_file = F.col("file") if i < a.top - 1 else F.lit("")
+            under = lambda n: n.withColumns({"up_file": up_file, "up": parent}).join(open_nodes, ["up_file", "up"], "left_semi").drop("up_file", "up")  # noqa: E731, B023
             x, y = under(x), under(y)
         both = x.select("file", "number", F.col("hash").alias("hash_a")).join(y.select("file", "number", F.col("hash").alias("hash_b")), ["file", "number"], "full")
         both = stored(both, "merkle-compared")
         compared.append(both.count())
         wrong = both.where("not (hash_a <=> hash_b)")
-        open_nodes = wrong.select("file", F.col("number").alias("up"))
+        open_nodes = wrong.select(F.col("file").alias("up_file"), F.col("number").alias("up"))
     return wrong, compared
 
 
 def bodies(manifest: DataFrame, folder: str) -> DataFrame:
-    """(file, number, id, body_bytes, body_sha256) of each record, read back by its offset; null where it can't be read."""
-    rows = _files(manifest)
+    """(file, number, id, body_bytes, body_sha256) of each record, read back by its offset; null where it can't be read.
+
+    One record is in memory at a time. Null ids and repeated rows of the manifest are given back as they are.
+    """
+    rows = _spread(_files(manifest), manifest)
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, place = _place(folder)
         for b in bs:
             for file, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with fs.open_input_stream(f"{place}/{file}", compression=None) as f:
-                    raw = memoryview(f.read())
-                sizes, hashes = [], []
-                for r in records:
-                    try:
-                        body = block(zlib.decompress(raw[r["offset"] : r["offset"] + r["length"]], 31))
-                        sizes.append(len(body))
-                        hashes.append(hashlib.sha256(body).hexdigest())
-                    except (ValueError, zlib.error):
-                        sizes.append(None)
-                        hashes.append(None)
+                sizes, hashes = [None] * len(records), [None] * len(records)
+                there = fs.get_file_info(f"{place}/{file}")
+                if there.type == pafs.FileType.File:
+                    with fs.open_input_file(f"{place}/{file}") as f:
+                        for i, r in enumerate(records):
+                            f.seek(min(r["offset"], there.size))
+                            try:
+                                body = block(zlib.decompress(f.read(r["length"]), 31))
+                            except (ValueError, zlib.error):
+                                continue
+                            sizes[i], hashes[i] = len(body), hashlib.sha256(body).hexdigest()
                 columns = [pa.array([file] * len(records))] + [pa.array([r[c] for r in records], pa.int64()) for c in ("number", "id")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], ["file", "number", "id", "body_bytes", "body_sha256"])
 

@@ -111,7 +111,7 @@ def leaking(docs, items, window=13, tolerance=0.2):
         for i, t in items:
             t = plain(t)
             w = min(window, len(t))
-            if w and any(sum(x != y for x, y in zip(d[a : a + w], t[b : b + w])) <= int(tolerance * w + 1e-9) for a in range(len(d) - w + 1) for b in range(len(t) - w + 1)):
+            if w >= decontam.SHORTEST and any(sum(x != y for x, y in zip(d[a : a + w], t[b : b + w])) <= int(tolerance * w + 1e-9) for a in range(len(d) - w + 1) for b in range(len(t) - w + 1)):
                 out.add((k, i))
     return out
 
@@ -132,13 +132,15 @@ def benchmark_case(seed):
     return docs + [(100, None, "", "", 0), (101, "", "", "", 0), (102, items[0][1], "", "", 0), (102, items[0][1], "", "", 0)], items
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_leaks(spark, seed):
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"seed_rows": 150, "most_blocks": 100}), (3, {"seed_rows": 10})])
+def test_leaks(spark, seed, options):
     docs, items = benchmark_case(seed)
+    docs.append((103, " ".join(words(random.Random(1), 20_000, 3000)) + " " + items[0][1], "", "", 0))
+    items.append((0, items[0][1]))  # a repeated item
     want = leaking([(d[0], d[1]) for d in docs], items)
     df = frame(spark, docs).withColumn("item_id", F.lit("clash"))
-    got = [(r.doc_id, r.item_id) for r in decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 6
+    got = [(r.doc_id, r.item_id) for r in decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string"), **options).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 6 and (103, 0) in want
     assert decontam.leaks(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert decontam.leaks(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
@@ -218,7 +220,7 @@ def test_fingerprints(spark):
 
 
 def test_fingerprints_tell_all_terms_of_the_band_apart(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 20)
     rng = random.Random(8)
     some = [" ".join(words(rng, rng.randint(0, 60), 4000)) for _ in range(150)]
     some += ["d'été " * 3, "été d", "", None, "solitary", "w1", some[4], some[4]]
@@ -248,7 +250,7 @@ def test_fingerprints_tell_all_terms_of_the_band_apart(spark, monkeypatch):
 
 
 def test_next_document_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 10)
     some = [(i * 7 % 1009, f"t{i}", "", "", 0) for i in range(300)]
     ids = sorted(r[0] for r in some)
     got = {r.id: (r.next_id, r.next_text) for r in imatch.with_next(frame(spark, some).select(F.col("doc_id").alias("id"), "text")).collect()}
@@ -282,9 +284,19 @@ def test_fisher_yates_is_uniform(spark):
 
 
 def test_shard_files(spark, tmp_path):
-    sharding.write_shards(frame(spark, rows(1)), str(tmp_path / "s"), 4)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == len(rows(1)) and back.select("shard").distinct().count() == 4
+    df = frame(spark, rows(1)).withColumn("shard", F.lit("clash"))
+    sharding.write_shards(df, str(tmp_path / "s"), 4, bucket_rows=10)
+    back = sharding.read_shards(spark, str(tmp_path / "s"), df).collect()
+    assert sorted((r.doc_id, r.text or "", r.text is None) for r in back) == sorted((k, t or "", t is None) for k, t, *_ in rows(1))
+    assert sorted((r.shard, r.slot) for r in back) == sorted((g % 4, g // 4) for g in range(len(back)))
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"), 4)
+    assert sharding.read_shards(spark, str(tmp_path / "none"), df).count() == 0
+
+
+def test_shard_order_is_drawn_where_the_bucket_is(spark):
+    plan = sharding.shuffled(frame(spark, rows(1)), 4, bucket_rows=10)._jdf.queryExecution().optimizedPlan().toString()
+    drawn = plan[plan.index("aggregate(sequence") :]
+    assert "Join" not in drawn  # the permutation is made under the window, on the rows' side, not on the counts' side
 
 
 def pages(n=80):
@@ -303,14 +315,48 @@ def test_warc_and_audit(spark):
     warc.replicate(manifest, f"{place}/a", f"{place}/same")
     warc.replicate(manifest, f"{place}/a", f"{place}/bad", [29, 3])
     a, same, bad = (warc.tree(manifest, f"{place}/{x}", 4) for x in ("a", "same", "bad"))
+    files = manifest.select("file").distinct().count()
     wrong, compared = warc.differing(a, same, 4)
-    assert wrong.count() == 0 and sum(compared[1:]) == 0
+    assert wrong.count() == 0 and compared[0] == 1 and sum(compared[1:]) == 0 and files > 4
     wrong, compared = warc.differing(a, bad, 4)
     ids = {r.id for r in wrong.join(manifest, ["file", "number"]).collect()}
     assert ids == {k for k, *_ in some if k is not None and k % 29 == 3} and compared[-1] < len(some)
-    assert warc.differing(warc.tree(manifest.limit(0), f"{place}/a"), warc.tree(manifest.limit(0), f"{place}/a"))[0].count() == 0
+    nothing = warc.tree(manifest.limit(0), f"{place}/nowhere")
+    assert warc.differing(nothing, nothing)[0].count() == 0
     missing, _ = warc.differing(a, warc.tree(manifest, f"{place}/nowhere", 4), 4)
-    assert missing.count() == len(some)
+    assert missing.count() == len(some) + files  # all records and tails
+    assert {r.body_bytes for r in warc.bodies(manifest, f"{place}/nowhere").collect()} == {None}
+
+
+def test_audit_sees_lengths_and_files(spark):
+    df = spark.createDataFrame(pages() + [(7, "http://x/7", "<p>again</p>")] * 2, "page_id long, url string, html string")
+    place = f"{shared_dir(spark)}/warc-test-{random.random()}"
+    manifest = warc.write(df, f"{place}/a", file_bytes=4000)
+    assert manifest.count() == len(pages()) + 2
+    warc.replicate(manifest, f"{place}/a", f"{place}/b")
+    a, here = warc.tree(manifest, f"{place}/a", 4), place.removeprefix("file://") + "/b"
+    one, two, three = sorted(r.file for r in manifest.select("file").distinct().collect())[:3]
+    tail = {r.file: r.n for r in manifest.groupBy("file").agg(F.count("*").alias("n")).collect()}
+
+    def damage():
+        return {(r.file, r.number) for r in warc.differing(a, warc.tree(manifest, f"{place}/b", 4), 4)[0].collect()}
+
+    assert damage() == set()
+    with open(f"{here}/{one}", "ab") as f:
+        f.write(b"x" * 700)
+    assert damage() == {(one, tail[one])}
+    with open(f"{here}/{two}", "r+b") as f:
+        f.truncate(manifest.where(F.col("file") == two).agg(F.sum("length")).first()[0] - 3)
+    assert damage() == {(one, tail[one]), (two, tail[two]), (two, tail[two] - 1)}
+    with open(f"{here}/unknown.warc.gz", "wb") as f:
+        f.write(b"y")
+    assert damage() == {(one, tail[one]), (two, tail[two]), (two, tail[two] - 1), ("unknown.warc.gz", 0)}
+    import os
+
+    os.remove(f"{here}/{three}")
+    assert damage() >= {("unknown.warc.gz", 0), *((three, i) for i in range(tail[three] + 1))}
+    none = warc.write(df.limit(0), f"{place}/none")
+    assert none.count() == 0 and warc.bodies(none, f"{place}/none").count() == 0
 
 
 def test_warc_records():

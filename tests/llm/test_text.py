@@ -35,7 +35,7 @@ def test_word_table_is_what_the_library_gives():
     t = encoding.WordTable(WORD, limit=300)
     want = [e.ids + [2] for e in encoding.load(WORD).encode_batch([x or "" for x in texts], add_special_tokens=False)]
     got = []
-    for part in encoding.slices(pa.array(texts, pa.string()), 3000):
+    for part in textnum.slices(pa.array(texts, pa.string()), 3000):
         ids, offsets = t.encode(part, 2)
         got += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
     assert got == want
@@ -48,6 +48,28 @@ def test_tree_of_unsplit_text(leaf):
         assert encoding.tree_encode(t, text, leaf) == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("longest,leaf,threads", [(30, 11, 1), (20, 1, 1), (64, 17, 3)])
+def test_tree_of_whole_texts(monkeypatch, longest, leaf, threads):
+    monkeypatch.setattr(encoding, "LONG_TEXT", longest)
+    monkeypatch.setattr(encoding, "LEAF", leaf)
+    monkeypatch.setattr(encoding, "WINDOW_PIECES", 1)
+    p, t = encoding.Pieces(BYTE, True), encoding.load(BYTE)
+    texts = [x for i in range(3) for x in weird(10 + i)] + [(r[1] or "")[:3000] for r in rows()] + ["a" * 300, " " * 200, "a  \n" * 60]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(b, np.uint32).tolist() for b in p.encode(texts, threads)]
+    assert got == want
+    long = [x for x in texts if len(x) > longest and "<|endoftext|>" not in x and "\x1c" not in x]
+    assert len(long) > 50 and p.joins >= len(long) and p.windows > p.joins  # some windows had to grow
+
+
+def test_long_texts_of_the_query_are_joined(spark):
+    """The very function that the tasks run, on a text over the production threshold."""
+    text = next(r[1] for r in rows() if len(r[1] or "") > encoding.LONG_TEXT)
+    p = encoding.Pieces(BYTE, True)
+    (ids,) = p.encode([text])
+    assert p.joins >= len(text) // encoding.LEAF and np.frombuffer(ids, np.uint32).tolist() == encoding.load(BYTE).encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_queries(spark):
     some = rows()
     t = encoding.load(BYTE)
@@ -78,11 +100,34 @@ def test_token_files(spark, tmp_path):
     assert "EqualTo(doc_id,7)" in files.where("doc_id = 7")._jdf.queryExecution().toString()
     token_files.write_tokens(df.limit(0), str(tmp_path / "e"), WORD)
     assert token_files.token_index(spark, str(tmp_path / "e")).count() == 0
+    for at, f in enumerate(sorted((tmp_path / "t").glob("part-*.orc"), reverse=True)):  # names don't matter, nor does their order
+        f.rename(tmp_path / "t" / f"part-{99_999 + at}-renamed.orc")
+    assert {r.doc_id: (r.start, r.n_tokens) for r in token_files.token_index(spark, str(tmp_path / "t")).collect()} == {k: (r.start, r.n_tokens) for k, r in got.items()}
+    same = spark.createDataFrame([(5, "w " * n) for n in (3, 50, 7, 200, 1)], "doc_id long, text string")
+    token_files.write_tokens(same, str(tmp_path / "k"), WORD)
+    ordered = sorted((r.start, r.n_tokens) for r in token_files.token_index(spark, str(tmp_path / "k")).collect())
+    assert [a for a, _ in ordered] == [sum(n for _, n in ordered[:i]) for i in range(5)]
     twice = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "c")], "doc_id long, text string")
     token_files.write_tokens(twice, str(tmp_path / "d"), WORD)
     assert sorted(r.start for r in token_files.token_index(spark, str(tmp_path / "d")).collect()) == [0, 2, 4, 6]
 
 
+def test_orc_layout(spark, tmp_path, monkeypatch):
+    """Several stripes a file, integer run lengths of version 2, a row index, and Bloom filters on the key alone."""
+    monkeypatch.setattr(token_files, "STRIPE_BYTES", 64 << 10)
+    rng = random.Random(1)
+    some = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i in range(12_000)]
+    token_files.write_tokens(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), str(tmp_path / "t"), WORD, part_bytes=1 << 30)
+    (file,) = (tmp_path / "t").glob("part-*.orc")
+    orc, conf = spark._jvm.org.apache.orc, spark._jsc.hadoopConfiguration()
+    reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(file)), orc.OrcFile.readerOptions(conf))
+    assert reader.getStripes().size() > 1 and reader.getRowIndexStride() == token_files.ROW_STRIDE and reader.getNumberOfRows() == 12_000
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0)).toString()
+    columns = reader.getSchema().getFieldNames()
+    assert list(columns) == ["doc_id", "part", "at", "ids"] and footer.count("kind: DIRECT_V2") >= 4
+    assert footer.count("kind: ROW_INDEX") >= 5 and footer.count("kind: BLOOM_FILTER_UTF8") == 1
+
+
 @pytest.mark.parametrize("block", [7, 64, 2 << 20])
 def test_words_and_windows(block, monkeypatch):
     monkeypatch.setattr(textnum, "_BLOCK", block)
@@ -114,10 +159,11 @@ def cut(some, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,block,chunk", [(35, 18, 20_000), (8, 4, 9_000), (5, 3, 10**9)])
-def test_repeats(spark, size, block, chunk):
-    some = rows(3) + [(900, "a b " * 50, "", "", 0), (None, "p q r s t u v w x y " * 9, "", "", 0), (None, "q r s t u v w x y z " * 9, "", "", 0)]
-    got = repeats.repeats(frame(spark, some).withColumn("kept", F.lit(1)).withColumn("chunk", F.lit(2)), size=size, block=block, chunk_bytes=chunk).collect()
+@pytest.mark.parametrize("size,block,chunk,bucket,groups", [(35, 18, 20_000, 9_000, 12), (8, 4, 2_000, 1_000, 2), (5, 3, 10**9, 10**9, 12)])
+def test_repeats(spark, monkeypatch, size, block, chunk, bucket, groups):
+    monkeypatch.setattr(repeats, "MANY_ROWS", 2)  # rows without a key are too many for it
+    some = rows(3) + [(None, "x y z " * 20, "", "", 0)] + [(900, "a b " * 50, "", "", 0), (None, "p q r s t u v w x y " * 9, "", "", 0), (None, "q r s t u v w x y z " * 9, "", "", 0)]
+    got = repeats.repeats(frame(spark, some).withColumn("kept", F.lit(1)).withColumn("chunk", F.lit(2)), size=size, block=block, chunk_bytes=chunk, bucket_bytes=bucket, group_bits=groups).collect()
     want = cut([(r[0], r[1]) for r in some], size)
     assert sorted(map(tuple, got), key=str) == want and sum(w[2] for w in want) > 100
 
@@ -129,7 +175,19 @@ def test_repeats_edges(spark):
         repeats.repeats(frame(spark, rows()), size=10, block=6)
 
 
+def test_rows_sent_do_not_grow_with_chunks_times_buckets(spark):
+    """Whatever the number of buckets, a chunk sends a row to a group at most, and a slab a row to a bucket of its group."""
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**50, 5000, dtype=np.uint64)  # 32 bits of the hash, 12 of its bucket, 6 of its group
+    sent = repeats.send(3, 0, h, None, None, None, 44)
+    assert sent.num_rows <= 64
+    one = sent.take([i for i in range(sent.num_rows) if sent.column(0)[i].as_py() == 5])
+    again, more, owner, twice, special = repeats._received(one)
+    assert more is None and special is None and set(owner) == {0} and not twice.any()
+    assert sorted(again.tolist()) == sorted(set((h[h >> np.uint64(44) == 5] & np.uint64((1 << 44) - 1)).tolist()))
+
+
 def test_packing():
     rng = np.random.default_rng(1)
-    for x in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.sort(rng.integers(0, 2**40, 1000, dtype=np.uint64)), np.array([0, 2**39], np.uint64)):
+    for x in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.sort(rng.integers(0, 2**40, 1000, dtype=np.uint64)), np.array([0, 2**39], np.uint64), np.array([1, 2, 2**63], np.uint64), np.sort(rng.integers(0, 2**50, 99, dtype=np.uint64))):
         assert (repeats.unpack(repeats.pack(x)) == x).all()
