@@ -1,4 +1,4 @@
-"""BPE encoding and decoding of whole texts, with tree concatenation for long unsplit ones (see encoding.py)."""
+"""BPE encoding and decoding of whole texts, by tree concatenation of long ones (see encoding.py)."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from strandfold.llm import encoding
-from strandfold.llm.shared import table
+from strandfold.llm.shared import batched, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -19,13 +20,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def cores() -> int:
+    """The cores that Spark gives this task (spark.task.cpus)."""
+    task = TaskContext.get()
+    return task.cpus() if task else 1
+
+
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every row, as the library encodes its whole text without special tokens added.
 
-    A null text is an empty one and has no ids. Rows with equal or null keys stay separate
-    rows; other columns aren't read. path: a byte-level BPE file of the tokenizers library.
+    A null text is an empty one and has no ids. A very long text is a tree of halves. Rows with
+    equal or null keys and repeated rows stay separate rows; other columns aren't read. An
+    empty table gives an empty result. path: a byte-level BPE file of the tokenizers library.
     """
-    docs = docs.select(key, text)
+    docs = batched(docs).select(key, text)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +41,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         for b in bs:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for s in encoding.chunks(texts):
-                ids = pieces.encode(texts[s])
+                ids = pieces.encode(texts[s], cores())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
@@ -42,8 +50,8 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids, exact): exact says whether the ids decode to the very text. Nulls and keys as in encoded()."""
-    docs = docs.select(key, text)
+    """(key, n_tokens, ids, exact): exact says whether the ids decode to the very text. All cases are as in encoded()."""
+    docs = batched(docs).select(key, text)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +59,7 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         for b in bs:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for s in encoding.chunks(texts):
-                ids = [np.frombuffer(x, dtype=np.uint32) for x in pieces.encode(texts[s])]
+                ids = [np.frombuffer(x, dtype=np.uint32) for x in pieces.encode(texts[s], cores())]
                 back = pieces.t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
                 n = [len(x) for x in ids]
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
@@ -76,8 +84,11 @@ def decoded(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so ids and texts never leave the task."""
-    docs = docs.select(key, text)
+    """(key, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so ids and texts never leave the task.
+
+    All cases are as in encoded(); a null or empty text has the hashes of empty strings.
+    """
+    docs = batched(docs).select(key, text)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +98,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             texts = [x or "" for x in b.column(1).to_pylist()]
             for s in encoding.chunks(texts):
                 n, a, d = [], [], []
-                ids = [np.frombuffer(x, dtype=np.uint32) for x in pieces.encode(texts[s])]
+                ids = [np.frombuffer(x, dtype=np.uint32) for x in pieces.encode(texts[s], cores())]
                 for x, back in zip(ids, pieces.t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)):
                     n.append(len(x))
                     a.append(hashlib.sha256(",".join(decimal[x].tolist()).encode()).hexdigest())

@@ -1,9 +1,12 @@
 """Exact tokenisation of many texts with the tokenizers library.
 
-A text is cut where its tokenizer provably never joins across (single spaces and line
+A text is split where its tokenizer provably never joins across (single spaces and line
 ends), and the pieces, which repeat a lot, are encoded by the library once per worker
-process and remembered. A long piece without such a cut is encoded as a tree: its halves
-apart, then growing windows around the join until the old and the new tokens agree.
+process and remembered. A long text is encoded as a tree: it is halved at any place, down to
+leaves, which are encoded apart (by as many threads as Spark gives the task cores); then
+growing windows of pieces around each join are split and encoded again until the first and
+the last piece are the old ones on both sides. A long piece without white space is a tree of
+tokens in the same way.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +25,13 @@ from tokenizers import Tokenizer
 from strandfold.llm import textnum
 
 #: Pieces kept per worker process; the memory of a worker doesn't grow with the data.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 #: Pieces of more characters than this are encoded as a tree, and never kept.
 LONG_PIECE = 4096
+#: Texts of more characters than this are encoded as a tree, with leaves of at most so many.
+LONG_TEXT, LEAF = 16_384, 8_192
+#: Pieces on each side of a join that are looked at first.
+WINDOW_PIECES = 4
 #: Characters that one library decides are white space and another doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A plain word (letters that are stable under composition and folded one by one), perhaps after a space, then signs: two pre-tokens, whichever tokenizer.
@@ -106,6 +114,8 @@ class Pieces:
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        #: Joins made, and windows encoded for them, since the process began.
+        self.joins = self.windows = 0
 
     def split(self, text: str) -> list[str]:
         """Pieces whose encodings, one after the other, are the text's.
@@ -159,22 +169,73 @@ class Pieces:
                 known[p] = array("I", e.ids).tobytes()
         return {**known, **long} if long else known
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
+    def in_pieces(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
+        """The pieces of each text and their ids."""
         get, rows, gaps = self.known.get, [], []
         for x in texts:
             some = self.split(x)
             ids = list(map(get, some))
             if not all(ids):
                 gaps.append((ids, [(i, some[i]) for i, b in enumerate(ids) if b is None]))
-            rows.append(ids)
+            rows.append((some, ids))
         if gaps:
             known = self.learn({p for _, lacking in gaps for _, p in lacking})
             for ids, lacking in gaps:
                 for i, p in lacking:
                     ids[i] = known[p]
-        return list(map(b"".join, rows))
+        return rows
+
+    def encode(self, texts: list[str], threads: int = 1) -> list[bytes]:
+        """The ids of each text; threads: how many leaves of a long text may be encoded at a time."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        long = [i for i, x in enumerate(texts) if len(x) > LONG_TEXT and self.byte_level]
+        if not long:
+            return [b"".join(ids) for _, ids in self.in_pieces(texts)]
+        out: list[bytes] = [b""] * len(texts)
+        rest = [i for i, x in enumerate(texts) if not (len(x) > LONG_TEXT and self.byte_level)]
+        for i, (_, ids) in zip(rest, self.in_pieces([texts[i] for i in rest])):
+            out[i] = b"".join(ids)
+        for i in long:
+            out[i] = b"".join(self.tree(texts[i], threads))
+        return out
+
+    def tree(self, text: str, threads: int = 1) -> list[bytes]:
+        """The ids of a long text's pieces: leaves first, then joins, level by level.
+
+        What is split off a text depends on nothing in front of a split and on one character
+        behind it, so two splittings that share a split agree from there on. Names of special
+        tokens and odd spaces, which the library cuts at first, are no matter of pieces: texts
+        with them are encoded as they are.
+        """
+        if _ODD_SPACE.search(text) or any(x in text for x in self.special):
+            return self.in_pieces([text])[0][1]
+
+        def halves(lo: int, hi: int) -> list[str]:
+            mid = (lo + hi) // 2
+            return [text[lo:hi]] if hi - lo <= LEAF else halves(lo, mid) + halves(mid, hi)
+
+        leaves = halves(0, len(text))
+        if threads > 1:
+            with ThreadPoolExecutor(threads) as pool:
+                level = list(pool.map(lambda x: self.in_pieces([x])[0], leaves))
+        else:
+            level = self.in_pieces(leaves)
+        while len(level) > 1:
+            joined = [self.join(*level[i], *level[i + 1]) for i in range(0, len(level) - 1, 2)]
+            level = joined + level[len(joined) * 2 :]
+        return level[0][1]
+
+    def join(self, left: list[str], lids: list[bytes], right: list[str], rids: list[bytes]) -> tuple[list[str], list[bytes]]:
+        self.joins += 1
+        k = WINDOW_PIECES
+        while True:
+            self.windows += 1
+            a, b = max(0, len(left) - k), min(len(right), k)
+            some, ids = self.in_pieces(["".join(left[a:]) + "".join(right[:b])])[0]
+            if (a == 0 or some[:1] == left[a : a + 1]) and (b == len(right) or some[-1:] == right[b - 1 : b]):
+                return left[:a] + some + right[b:], lids[:a] + ids + rids[b:]
+            k *= 2
 
 
 class WordTable:
@@ -185,7 +246,7 @@ class WordTable:
     table entry takes some thirty bytes; after LIMIT entries the table begins anew.
     """
 
-    LIMIT = 2_000_000
+    LIMIT = 1_000_000
     MOST_IDS = 64
 
     def __init__(self, path: str, limit: int = LIMIT) -> None:
@@ -262,16 +323,6 @@ def word_table(path: str) -> WordTable:
     return _TABLES[path]
 
 
-def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
-    """Consecutive parts of a string column with about size bytes each."""
-    n, lo = len(column), 0
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
-        yield column.slice(lo, hi - lo)
-        lo = hi
-
-
 def chunks(texts: list[str], size: int = 1 << 20) -> Iterator[slice]:
     """Slices of the list with about size characters each."""
     lo = n = 0

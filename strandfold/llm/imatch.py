@@ -29,7 +29,10 @@ DRAWS = (SPARSE.bit_length() - 1) // 2
 LEAST_TERMS = 16
 #: The band: at least MIN_DOCS documents, at most this share of all.
 MIN_DOCS, MOST_SHARE = 2, 0.01
-BUCKET_ROWS, MOST_BUCKETS = 2000, 20_000
+#: Documents of one range of ids; with more ranges than MOST_RANGES they become longer instead (a range's sort can spill).
+RANGE_ROWS, MOST_RANGES = 4000, 50_000
+#: Ids looked at to set the ends of a range.
+SAMPLED = 20
 #: Cells of the hash table of the terms above the band.
 CELLS = 4096
 _SPLIT = r"[\s\p{Punct}]+"
@@ -139,23 +142,46 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(some > 0, same / some).otherwise(F.when(x == y, 1.0).otherwise(0.0))
 
 
+def _ranges(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What adds bucket, the number of its id's range, to rows: ranges have about equal numbers of documents.
+
+    The ends come from a hashed sample of SAMPLED ids a range, at most a million in all. A
+    row finds its range in two steps, each over the square root of the number of ends.
+    """
+    n = docs.count()
+    pieces = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    every = max(1, n // (pieces * SAMPLED))
+    some = docs.where("id is not null").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(every)) == 0).select(F.sort_array(F.collect_set("id")).alias("ids")) if pieces > 1 else None
+    ids = some.first()["ids"] if some is not None else []
+    ends = [ids[i * len(ids) // pieces] for i in range(1, pieces)] if len(ids) >= pieces else ids
+    wide = max(1, int(len(ends) ** 0.5))
+    table_ = docs.sparkSession.createDataFrame([(ends[wide - 1 :: wide], [ends[i : i + wide - 1] for i in range(0, len(ends) + 1, wide)])], "far array<bigint>, near array<array<bigint>>")
+
+    def add(rows: DataFrame) -> DataFrame:
+        if not ends:
+            return rows.withColumn("bucket", F.lit(0))
+        before = lambda a: F.size(F.filter(a, lambda c: c <= F.col("id")))
+        far = F.when(F.col("id").isNull(), 0).otherwise(before(F.col("far")))
+        near = F.when(F.col("id").isNull(), 0).otherwise(before(F.get("near", F.col("__far"))))
+        rows = rows.crossJoin(F.broadcast(table_)).withColumn("__far", far)  # one row
+        return rows.withColumn("bucket", F.col("__far") * wide + near).drop("far", "near", "__far")
+
+    return add
+
+
 def with_next(docs: DataFrame, rare: DataFrame | None = None) -> DataFrame:
     """(id, text) with next_id and next_text by ascending id; the last is followed by the first.
 
     rare (id, hash, rare) adds the columns rare and next_rare, null for texts that aren't in it: its
     rows go with the texts, each before the one of its id and hash.
 
-    Ids are cut into ranges of about BUCKET_ROWS rows at quantiles, and each range is sorted
-    by itself; the first row of each range follows the last of the range before. Equal ids
-    are ordered by a hash of their text; null ids come first.
+    Ids are cut into ranges of about RANGE_ROWS rows, and each range is sorted by itself; the
+    first row of each range follows the last of the range before. Equal ids are ordered by a
+    hash of their text; null ids come first.
     """
-    n = docs.count()
-    pieces = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = docs.approxQuantile("id", [i / pieces for i in range(1, pieces)], 0.1 / pieces) if pieces > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
+    with_range = _ranges(docs)
     order = [F.col("id").asc_nulls_first(), "hash", "kind", "text"]
-    rows = docs.select("id", "text", F.xxhash64("text").alias("hash"), F.lit(1).alias("kind"), F.lit(None).cast("array<bigint>").alias("rare")).withColumn("bucket", bucket)
+    rows = with_range(docs.select("id", "text", F.xxhash64("text").alias("hash"), F.lit(1).alias("kind"), F.lit(None).cast("array<bigint>").alias("rare")))
     heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "hash", "text")).alias("head")).select("bucket", "head.id", "head.hash", "head.text")
     if rare is None:
         heads = heads.withColumn("rare", F.lit(None).cast("array<bigint>"))
@@ -167,10 +193,9 @@ def with_next(docs: DataFrame, rare: DataFrame | None = None) -> DataFrame:
     ring = heads.select("bucket").withColumn("o", F.col("bucket"))
     ring = ring.withColumn("then", F.coalesce(F.lead("bucket").over(following), F.first("bucket").over(following))).drop("o")
     heads = ring.join(heads.withColumnRenamed("bucket", "then"), "then").drop("then")
-    heads = F.broadcast(heads) if pieces <= 64 else heads
     w = Window.partitionBy("bucket").orderBy(*order)
     if rare is not None:
-        rows = rows.unionByName(rare.select("id", F.lit(None).cast("string").alias("text"), "hash", F.lit(0).alias("kind"), "rare").withColumn("bucket", bucket))
+        rows = rows.unionByName(with_range(rare.select("id", F.lit(None).cast("string").alias("text"), "hash", F.lit(0).alias("kind"), "rare")))
         before = F.lag(F.struct("kind", "id", "hash", "rare")).over(w)
         mine = (F.col("before.kind") == 0) & F.col("before.id").eqNullSafe(F.col("id")) & (F.col("before.hash") == F.col("hash"))
         rows = rows.withColumn("before", before).where("kind = 1").withColumn("rare", F.when(mine, F.col("before.rare"))).drop("before")

@@ -252,4 +252,23 @@ def op2_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_segment_lines": op2_segment_lines}
-SQL: dict[str, str] = {}
+#: levenshtein() counts bytes, so the letters with accents become single bytes first.
+_ACCENTS = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ"
+_BYTES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(_ACCENTS)])
+#: All pairs of distinct lines of about one length of which a third stands in the other.
+SQL = {
+    "op2_segment_lines": f"""
+WITH every AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL),
+filled AS (SELECT doc_id, no, line FROM every WHERE length(trim(line)) > 0),
+firsts AS (SELECT line, min((doc_id, no)) AS place FROM filled GROUP BY line),
+long AS (SELECT line, place, length(line) AS n, translate(line, '{_ACCENTS}', {_BYTES}) AS b FROM firsts WHERE length(line) >= {MIN_CHARS}),
+near AS MATERIALIZED (SELECT y.line, x.b AS xb, y.b AS yb FROM long x JOIN long y ON y.n BETWEEN x.n - {EDITS} AND x.n + {EDITS} AND x.place < y.place
+    WHERE contains(y.b, substr(x.b, 1, x.n // 3)) OR contains(y.b, substr(x.b, x.n // 3 + 1, x.n // 3)) OR contains(y.b, substr(x.b, 2 * (x.n // 3) + 1))),
+later AS (SELECT DISTINCT line FROM near WHERE levenshtein(xb, yb) <= {EDITS}),
+gone AS (SELECT doc_id, no FROM filled JOIN firsts USING (line) WHERE (doc_id, no) <> place OR line IN (SELECT line FROM later)),
+per AS (SELECT doc_id, list(no ORDER BY no) AS removed FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS kept FROM every ANTI JOIN gone USING (doc_id, no) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS INT) AS n_lines, CAST(coalesce(len(removed), 0) AS INT) AS n_removed,
+    CAST(coalesce(removed, []) AS INT[]) AS removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+}

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +32,14 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Candidates whose estimate is this much below the threshold aren't verified: over four standard errors.
 SLACK = 0.15
 BLOCK = 512
-SLICE = 1 << 20
+SLICE = 1 << 18
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, REGISTERS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row; fewer words than size make one shingle, none make none."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n, lo = len(column), 0
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    while lo < n:  # rows of about SLICE bytes at a time
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE)))
-        yield from _shingle_sets(column.slice(lo, hi - lo), size)
-        lo = hi
+    for some in textnum.slices(column, SLICE):
+        yield from _shingle_sets(some, size)
 
 
 def _shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -215,4 +208,15 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_setsketch": op4_setsketch}
-SQL: dict[str, str] = {}
+#: All pairs of texts with a shingle in common, and what can be reached over the links.
+SQL = {
+    "op4_setsketch": """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (shingle) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+    WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+}
