@@ -68,6 +68,12 @@ def aligned_blocks(pos: Column, ops: Column) -> Column:
     return F.aggregate(ops, start, step, lambda acc: acc["out"])
 
 
+def check_window(width: int | None) -> None:
+    if width is not None and (isinstance(width, bool) or not isinstance(width, int) or width < 1):
+        raise ValueError("split_window must be a whole number of at least 1")
+
+
 def window_chunk(pos: Column, width: int | None) -> Column:
     """Number of the batch of three windows that a start position falls in; without a width all are in one."""
-    return F.lit(0).cast("long") if not width else F.floor(pos / F.lit(3 * width)).cast("long")
+    check_window(width)
+    return F.lit(0).cast("long") if width is None else F.floor(pos / F.lit(3 * width)).cast("long")

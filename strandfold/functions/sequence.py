@@ -68,10 +68,8 @@ def ascii_sum(text: Column) -> Column:
 
 
 def quality_sum(qual: Column) -> Column:
-    """Sum of raw quality bytes (BINARY); two hexadecimal digits a byte, so no Python is needed."""
-    digits = F.split(F.hex(qual), "(?<=\\G..)")
-    values = F.transform(F.filter(digits, lambda d: d != ""), lambda d: F.conv(d, 16, 10).cast("long"))
-    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+    """Sum of raw quality bytes (BINARY), read as the characters of the same codes."""
+    return ascii_sum(F.decode(qual, "ISO-8859-1"))
 
 
 def group_tag(parts: list[Column], length: int = 8) -> Column:

@@ -23,10 +23,10 @@ from strandfold.schema import BUNDLE
 METHODS = ("raw", "acyclic", "directional")
 BIG_EDGES = 2_000_000
 GROUP_EDGES = 500_000
-MOST_ROUNDS = 10_000
+MOST_ROUNDS = 1_000
 
 
-def clusters(umis: DataFrame, method: str = "directional", max_edit: int = 1, percentage: float = 0.5, rev: bool = False, big_edges: int = BIG_EDGES) -> DataFrame:
+def clusters(umis: DataFrame, method: str = "directional", max_edit: int = 1, percentage: float = 0.5, rev: bool = False, big_edges: int = BIG_EDGES, one_bundle: bool = False) -> DataFrame:
     """umis (with rank) plus label_rank and leader: the cluster of each UMI is named by its smallest-rank visitor.
 
     leader is the UMI of smallest rank in the cluster. In the acyclic method a visitor that is
@@ -36,7 +36,7 @@ def clusters(umis: DataFrame, method: str = "directional", max_edit: int = 1, pe
     if method == "raw":
         return umis.withColumn("label_rank", F.col("rank")).withColumn("leader", F.col("umi"))
     # one edit is all that the acyclic method ever looks for
-    found = edges(umis, min(1, max_edit) if method == "acyclic" else max_edit, percentage, rev)
+    found = edges(umis, min(1, max_edit) if method == "acyclic" else max_edit, percentage, rev, one_bundle)
     if method == "acyclic":
         labels = found.groupBy(*BUNDLE, F.col("v_rank").alias("rank")).agg(F.min("u_rank").alias("least"))
     else:
@@ -98,12 +98,17 @@ def _small(found: DataFrame, total: int) -> DataFrame:
 
 
 def _large(found: DataFrame) -> DataFrame:
-    """By rounds: each takes the smallest label of the absorbers; ends when none changes."""
+    """By rounds: each takes the smallest label of the absorbers, and the label of the label, which reaches as far; ends when none changes.
+
+    Taking the label's label doubles the stretch of a path that a round covers.
+    """
     nodes = found.select(*BUNDLE, F.explode(F.array("u_rank", "v_rank")).alias("rank")).distinct()
     labels = stored(nodes.withColumn("least", F.col("rank")), "umi-labels")
     for _ in range(MOST_ROUNDS):
         given = found.join(labels.withColumnRenamed("rank", "u_rank"), [*BUNDLE, "u_rank"]).groupBy(*BUNDLE, F.col("v_rank").alias("rank")).agg(F.min("least").alias("given"))
-        new = labels.join(given, [*BUNDLE, "rank"], "left").select(*BUNDLE, "rank", F.least("least", F.coalesce("given", "least")).alias("new"), "least")
+        jump = labels.select(*BUNDLE, F.col("rank").alias("near"), F.col("least").alias("jump"))
+        near = labels.join(given, [*BUNDLE, "rank"], "left").select(*BUNDLE, "rank", "least", F.least("least", F.coalesce("given", "least")).alias("near"))
+        new = near.join(jump, [*BUNDLE, "near"]).select(*BUNDLE, "rank", F.least("near", "jump").alias("new"), "least")
         new = stored(new, "umi-labels")
         labels = new.select(*BUNDLE, "rank", F.col("new").alias("least"))
         if new.where("new <> least").isEmpty():

@@ -48,30 +48,33 @@ def winners(reads: DataFrame, labels: DataFrame, min_depth: int = 3) -> DataFram
     return passing.join(won, [*CLUSTER, "leader"]).select(*CLUSTER, "leader", "n_reads", "n_umis", "w.seq", "w.votes", "w.read_ord", "w.qual_sum")
 
 
-def cluster_reads(reads: DataFrame, method: str = "directional", max_edit: int = 1, percentage: float = 0.5, rev: bool = False) -> DataFrame:
+def cluster_reads(reads: DataFrame, method: str = "directional", max_edit: int = 1, percentage: float = 0.5, rev: bool = False, one_bundle: bool = False) -> DataFrame:
     """Every UMI of the keyed reads with its count, rank, label and leader."""
-    return clusters(ranked(umi_counts(with_bundle(reads))), method, max_edit, percentage, rev)
+    return clusters(ranked(umi_counts(with_bundle(reads))), method, max_edit, percentage, rev, one_bundle=one_bundle)
 
 
-def dedup(reads: DataFrame, method: str = "directional", max_edit: int = 1, percentage: float = 0.5, min_depth: int = 3, singletons: bool = False, rev: bool = False, only_group: bool = False) -> tuple[DataFrame, DataFrame]:
+def dedup(reads: DataFrame, method: str = "directional", max_edit: int = 1, percentage: float = 0.5, min_depth: int = 3, singletons: bool = False, rev: bool = False, only_group: bool = False, one_bundle: bool = False) -> tuple[DataFrame, DataFrame]:
     """(output, report) of keyed reads (umi, qual_sum, bundle columns).
 
     output has the columns of reads plus bx (the leader) and ug (a tag of the cluster): one
-    read per cluster of at least min_depth reads, or with only_group all reads of those.
+    read per cluster of at least min_depth reads, or with only_group all reads of those. What
+    counts and votes need of the reads is stored once, so a file is decoded twice: for that, and
+    for the reads that are given out.
     """
     min_depth = 1 if singletons else min_depth
     reads = with_bundle(reads)
-    labels = stored(cluster_reads(reads, method, max_edit, percentage, rev), "umi-clusters")
+    narrow = stored(reads.select(*BUNDLE, "umi", *([] if only_group else ["seq", "qual_sum"]), "read_ord"), "narrow-reads")
+    labels = stored(cluster_reads(narrow, method, max_edit, percentage, rev, one_bundle), "umi-clusters")
     tag = group_tag([F.col(c) for c in BUNDLE] + [F.col("leader")])
     passing = sizes(labels).where(F.col("n_reads") >= min_depth).select(*CLUSTER)
     if only_group:
         named = labels.join(passing, CLUSTER, "left_semi").select(*BUNDLE, "umi", F.col("leader").alias("bx"), tag.alias("ug"))
         out = reads.join(named, [*BUNDLE, "umi"])
     else:
-        won = winners(reads, labels, min_depth).select(*BUNDLE, "read_ord", F.col("leader").alias("bx"), tag.alias("ug"))
+        won = winners(narrow, labels, min_depth).select(*BUNDLE, "read_ord", F.col("leader").alias("bx"), tag.alias("ug"))
         out = reads.join(won, [*BUNDLE, "read_ord"])
     out = out.select(*reads.columns, "bx", "ug")
-    return out, group_report(reads, labels, min_depth, only_group)
+    return out, group_report(narrow, labels, min_depth, only_group)
 
 
 def group_report(reads: DataFrame, labels: DataFrame, min_depth: int = 3, only_group: bool = False) -> DataFrame:

@@ -46,13 +46,26 @@ def pairs(umis: DataFrame, k: int) -> DataFrame:
     return both.withColumn("mismatches", wrong).where(F.col("mismatches") <= k).select(*BUNDLE, "u_rank", "v_rank", "n_u", "n_v", "mismatches")
 
 
-def edges(umis: DataFrame, k: int = 1, percentage: float = 0.5, rev: bool = False) -> DataFrame:
-    """(bundle, u_rank, v_rank): u may absorb v.
+def pairs_by_gap(umis: DataFrame) -> DataFrame:
+    """As pairs(umis, 1), for bundles of very many short UMIs: two UMIs that differ in one place are equal around it.
+
+    Each UMI has a key per place, the UMI with that place blotted out; no key has more UMIs
+    than the alphabet has letters, so the rows grow with the UMIs, however many a bundle has.
+    """
+    n = F.char_length("umi")
+    keys = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(F.col("umi"), F.lit(1), i - 1), F.lit("*"), F.substring(F.col("umi"), i + 1, n)))
+    rows = umis.where(n > 0).select(*BUNDLE, "rank", "n_reads", F.posexplode(keys).alias("at", "key"))
+    u, v = (rows.select(*BUNDLE, "at", "key", F.col("rank").alias(f"{s}_rank"), F.col("n_reads").alias(f"n_{s}")) for s in "uv")
+    return u.join(v, [*BUNDLE, "at", "key"]).where("u_rank < v_rank").select(*BUNDLE, "u_rank", "v_rank", "n_u", "n_v", F.lit(1).alias("mismatches"))
+
+
+def edges(umis: DataFrame, k: int = 1, percentage: float = 0.5, rev: bool = False, one_bundle: bool = False) -> DataFrame:
+    """(bundle, u_rank, v_rank): u may absorb v. one_bundle: bundles are few and very large, as of a FASTQ file.
 
     u and v are within k mismatches and v has at most the threshold of u; with rev also if the
     reverse complement of u is v, whatever the counts, or within k of v under the threshold.
     """
-    p = pairs(umis, k)
+    p = pairs_by_gap(umis) if one_bundle and k == 1 else pairs(umis, k)
     may = lambda a, b: F.col(b) <= count_threshold(percentage, F.col(a))
     ways = F.array(F.when(may("n_u", "n_v"), F.struct("u_rank", "v_rank")), F.when(may("n_v", "n_u"), F.struct(F.col("v_rank").alias("u_rank"), F.col("u_rank").alias("v_rank"))))
     out = p.select(*BUNDLE, F.explode(F.filter(ways, lambda e: e.isNotNull())).alias("e")).select(*BUNDLE, "e.u_rank", "e.v_rank")

@@ -75,15 +75,16 @@ def merge_bundle(rows: list[dict], least: int, index: ReferenceIndex | None) ->
     if len(rows) == 1:
         return [{**rows[0], "status": None}]
     todo = [_Read(r) for r in sorted(rows, key=lambda r: (r["chr"], r["qname"], bool(r["flag"] & 16), r["pos"], r["read_ord"]))]
-    out = []
-    while todo:
-        a = todo.pop(0)
+    out, gone = [], [False] * len(todo)
+    for k, a in enumerate(todo):
+        if gone[k]:
+            continue
         status, bases = "unmerged", None
-        for i, b in enumerate(todo):
-            if (a.reverse or b.reverse) and overlaps((a.start, a.end), (b.start, b.end)):
+        for i in range(k + 1, len(todo)):
+            b = todo[i]
+            if not gone[i] and (a.reverse or b.reverse) and overlaps((a.start, a.end), (b.start, b.end)):
                 status, bases = compare(a.bases, b.bases, least)
-                if status != "unmerged":
-                    todo.pop(i)
+                gone[i] = status != "unmerged"
                 break
         if status == "discordant":
             out.append({**a.row, "status": status})
@@ -99,17 +100,18 @@ def merge_bundle(rows: list[dict], least: int, index: ReferenceIndex | None) ->
 def merge_pairs(reads: DataFrame, reference: str | None, min_overlap: int = 3, split_window: int | None = None) -> DataFrame:
     """Deduplicated reads with bx, merged per (chr, window batch, bx); plus status, null for barcodes of one read.
 
-    Rows with status discordant stand for pairs that were dropped: reads to keep are the rest. A
-    null bx is the barcode "NULL". The greedy choice is sequential within a barcode, which
-    is what dedup leaves of one molecule: a few reads. reference (the first record of a FASTA
-    file) is sent once to each task.
+    Rows with status discordant stand for pairs that were dropped: reads to keep are the rest.
+    The greedy choice is sequential within a barcode, which is what dedup leaves of one
+    molecule: a few reads. Reads without a barcode belong to no molecule and pass as they
+    are; they are never gathered. reference (the first record of a FASTA file) is sent once
+    to each task.
     """
     from strandfold.functions.cigar import window_chunk
 
     kept = [f for f in reads.schema.fields]
     schema = reads.withColumn("status", F.lit(None).cast("string")).schema
     index = ReferenceIndex(reference) if reference else None
-    keyed = reads.withColumn("__chunk", window_chunk(F.col("pos"), split_window)).withColumn("__bx", F.coalesce("bx", F.lit("NULL")))
+    keyed = reads.where("bx is not null").withColumn("__chunk", window_chunk(F.col("pos"), split_window)).withColumn("__bx", F.col("bx"))
 
     arrow = _arrow(schema)
     names, by = [f.name for f in kept], ["chr", "__chunk", "__bx"]
@@ -132,7 +134,8 @@ def merge_pairs(reads: DataFrame, reference: str | None, min_overlap: int = 3, s
         if done:
             yield from pa.Table.from_pylist(done, schema=arrow).to_batches()
 
-    return keyed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    merged = keyed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return merged.unionByName(reads.where("bx is null").withColumn("status", F.lit(None).cast("string")))
 
 
 def _arrow(schema) -> pa.Schema:

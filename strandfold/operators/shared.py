@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset and the master is local, as in tests, a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="strandfold-")
         atexit.register(shutil.rmtree, place, True)
         spark.conf.set("spark.checkpoint.dir", place)

@@ -119,7 +119,7 @@ def _paired() -> str:
     p1, p2 = "NNNXXXCC", "NNC"
     t = lambda x, p, k: f"coalesce({_take(x, p, k)}, '')"
     return f"""WITH {FASTQ}, z AS (SELECT a.read_ord, a.qname AS n1, a.descr AS d1, a.seq AS s1, a.qual AS q1, b.qname AS n2, b.descr AS d2, b.seq AS s2, b.qual AS q2
-        FROM fq a LEFT JOIN (SELECT * FROM fq2 WHERE read_ord % 50 <> 0) b USING (read_ord)),
+        FROM fq a LEFT JOIN fq2 b USING (read_ord)),
 y AS (SELECT *, {t("s1", p1, "C")} || {t("s2", p2, "C")} AS cell, {t("s1", p1, "N")} || {t("s2", p2, "N")} AS umi FROM z)
 SELECT read_ord, n1 || '_' || cell || '_' || umi AS qname1, d1 AS descr1, {_take("s1", p1, "X")} || substr(s1, 9) AS seq1, {_take("q1", p1, "X")} || substr(q1, 9) AS qual1,
        n2 || '_' || cell || '_' || umi AS qname2, d2 AS descr2, substr(s2, 4) AS seq2, substr(q2, 4) AS qual2, cell, umi FROM y"""
@@ -162,6 +162,30 @@ q AS (SELECT *, CASE WHEN o % 9 = 0 THEN translate(substr(b0, 1, 3), 'ACGT', 'CA
 z AS (SELECT *, CASE WHEN gap > 20 THEN 'unmerged' WHEN gap < 20 AND o % 9 = 0 THEN 'discordant' WHEN 20 - gap >= 3 THEN 'merged' ELSE 'unmerged' END AS status FROM q)"""
 
 
+def _coverage(refs: range) -> str:
+    return f"""WITH {ALIGN}, blk AS (SELECT chr_name, pos AS a, pos + m1 AS b, m1 AS n, 33 + read_ord % 40 AS q FROM aln UNION ALL SELECT chr_name, pos + m1 + gap, pos + m1 + gap + m2, m2, 33 + read_ord % 40 FROM aln WHERE m2 > 0),
+        own AS (SELECT chr_name, count(*) AS numreads, avg(mapq) AS meanmapq FROM aln GROUP BY 1), per AS (SELECT chr_name, sum(n) AS bases, sum(n * q) AS quality FROM blk GROUP BY 1),
+        cov AS (SELECT chr_name, count(DISTINCT p) AS covbases FROM (SELECT chr_name, unnest(generate_series(a, b - 1)) AS p FROM blk) GROUP BY 1), refs AS (SELECT 'chr' || i AS chr_name FROM generate_series(0, {refs[-1]}) t(i))
+        SELECT chr_name AS rname, CAST(6000 AS BIGINT) AS endpos, coalesce(numreads, 0) AS numreads, coalesce(covbases, 0) AS covbases, round(100.0::DOUBLE * coalesce(covbases, 0) / 6000, 6) AS coverage,
+               round(coalesce(bases, 0)::DOUBLE / 6000, 6) AS meandepth, round(coalesce(quality::DOUBLE / bases, 0), 6) AS meanbaseq, round(coalesce(meanmapq, 0), 6) AS meanmapq
+        FROM refs LEFT JOIN own USING (chr_name) LEFT JOIN per USING (chr_name) LEFT JOIN cov USING (chr_name)"""
+
+
+_UMI_OF = "string_split(qname, '_')[2]"
+
+
+def _dedup_fastq(length: str) -> str:
+    """As _dedup("acyclic"), with all reads in one bundle a length."""
+    sql = _dedup("acyclic", length=length)
+    rows = f"reads AS (SELECT read_ord, CAST(1 AS BIGINT) AS grp_pos, false AS reverse, umi, substr(s, 7, CAST(8 + read_ord % 4 AS INT)) AS seq, list_sum(list_transform(string_split(substr(q, 7, CAST(8 + read_ord % 4 AS INT)), ''), lambda c: ord(c))) AS qual_sum FROM (SELECT read_ord, umi, umi || seq || 'GATTACA' AS s, {_QUAL.replace('{m}', '1')} AS q FROM raw))"
+    sql = sql.replace("reads AS (SELECT", "raw AS (SELECT", 1).replace("keyed AS (", rows + ", keyed AS (", 1)
+    return f"SELECT grp_len, leader, n_reads, seq, votes, read_ord, CAST(qual_sum AS BIGINT) AS qual_sum FROM ({sql})"
+
+
+_TAG = "substr(sha256(concat_ws(chr(31), '', '1', CASE WHEN reverse THEN 'true' ELSE 'false' END, '0', CAST(grp_pos AS VARCHAR), '0', leader)), 1, 8)"
+_PASSING = ", pas AS (SELECT * FROM siz WHERE n_reads >= 3), own AS (SELECT r.read_ord, r.grp_pos, r.reverse, r.umi, r.seq, c.leader FROM reads r JOIN clu c USING (grp_pos, reverse, umi) JOIN pas p USING (grp_pos, reverse, label_rank))"
+
+
 SQL = {
     "umi_from_qname": f"WITH {READS} SELECT read_ord, umi FROM reads",
     "reverse_complement": f"WITH {READS} SELECT read_ord, reverse(translate(umi || 'N' || seq, 'ACGT', 'TGCA')) AS rc FROM reads",
@@ -192,12 +216,8 @@ SQL = {
     "dedup_singletons": _dedup(depth=1),
     "group_only": _clusters() + ", pas AS (SELECT * FROM siz WHERE n_reads >= 3) SELECT r.read_ord, r.grp_pos, r.reverse, r.umi, c.leader FROM reads r JOIN clu c USING (grp_pos, reverse, umi) JOIN pas p USING (grp_pos, reverse, label_rank)",
     "group_report": _REPORT,
-    "coverage_by_reference": f"""WITH {ALIGN}, blk AS (SELECT chr_name, pos AS a, pos + m1 AS b, m1 AS n FROM aln UNION ALL SELECT chr_name, pos + m1 + gap, pos + m1 + gap + m2, m2 FROM aln WHERE m2 > 0),
-        own AS (SELECT chr_name, count(*) AS numreads, avg(mapq) AS meanmapq FROM aln GROUP BY 1), per AS (SELECT chr_name, sum(n) AS bases FROM blk GROUP BY 1),
-        cov AS (SELECT chr_name, count(DISTINCT p) AS covbases FROM (SELECT chr_name, unnest(generate_series(a, b - 1)) AS p FROM blk) GROUP BY 1), refs AS (SELECT 'chr' || i AS chr_name FROM generate_series(0, 5) t(i))
-        SELECT chr_name AS rname, CAST(6000 AS BIGINT) AS endpos, coalesce(numreads, 0) AS numreads, coalesce(covbases, 0) AS covbases, round(100.0::DOUBLE * coalesce(covbases, 0) / 6000, 6) AS coverage,
-               round(coalesce(bases, 0)::DOUBLE / 6000, 6) AS meandepth, round(coalesce(meanmapq, 0), 6) AS meanmapq
-        FROM refs LEFT JOIN own USING (chr_name) LEFT JOIN per USING (chr_name) LEFT JOIN cov USING (chr_name)""",
+    "coverage_by_reference": _coverage(range(6)),
+    "coverage_tsv": _coverage(range(5)).replace("CAST(6000 AS BIGINT) AS endpos", "CAST(1 AS INT) AS startpos, CAST(6000 AS BIGINT) AS endpos"),
     "extract_barcodes": _extract("NNXXXXNNCC"),
     "extract_run_length": _extract("NNNNCCXXX"),
     "extract_mask": _extract("NNNNNNXX", mask=15),
@@ -214,7 +234,29 @@ SQL = {
         2 * count(*) FILTER (status = 'unmerged') + count(*) FILTER (status = 'merged') AS num_reads_out FROM z""",
     "fastq_roundtrip": f"WITH {FASTQ} SELECT qname, descr, seq, qual FROM fq",
     "bam_roundtrip": f"""WITH {ALIGN}, l AS (SELECT *, CAST(lead + m1 + ins + m2 + trail AS INT) AS n FROM aln)
-        SELECT qname, flag, chr, chr_name, pos, mapq, cigar, substr(repeat('GATC', 20), 1, n) AS seq, repeat('5', n) AS qual, 'ACGT' AS bx FROM l""",
+        SELECT qname, flag, chr, chr_name, pos, mapq, cigar, substr(repeat('GATC', 20), 1, n) AS seq, repeat(chr(CAST(33 + read_ord % 40 AS INT)), n) AS qual, 'ACGT' AS bx FROM l""",
+    "pair_realign": _merged()
+    + f""" SELECT o * 2 AS read_ord, 'p' || o || (CASE WHEN status = 'merged' THEN ':MERGED' ELSE '' END) AS qname, CASE WHEN status = 'merged' THEN instr({_reference()}, substr(a, 1, CAST(gap AS INT)) || b) - 1 ELSE s END AS pos,
+        CASE WHEN status = 'merged' THEN (20 + gap) || '=' ELSE '20M' END AS cigar, CASE WHEN status = 'merged' THEN substr(a, 1, CAST(gap AS INT)) || b ELSE a END AS seq, status FROM z
+        UNION ALL SELECT o * 2 + 1, 'p' || o, t, '20M', b, 'unmerged' FROM z WHERE status = 'unmerged'""",
+    "dedup_fastq": _dedup_fastq("CAST(0 AS BIGINT)"),
+    "dedup_fastq_by_length": _dedup_fastq("CAST(length(seq) AS BIGINT)"),
+    "dedup_fastq_compat": _dedup_fastq("CAST(length(seq) % 2 AS BIGINT)"),
+    "window_batches": f"WITH {ALIGN} SELECT read_ord, CAST(pos // 150 AS BIGINT) AS w50, CAST(pos // 300 AS BIGINT) AS w100, CAST(pos // 1500 AS BIGINT) AS w500, CAST(0 AS BIGINT) AS whole FROM aln",
+    "umi_counts_windows": f"""WITH {ALIGN} SELECT chr, CAST(pos // 150 AS BIGINT) AS window_chunk, CASE WHEN reverse THEN ref_end + trail ELSE pos - lead END AS grp_pos, reverse, {_UMI_OF} AS umi, count(*) AS n_reads, min(read_ord) AS first_ord
+        FROM aln WHERE flag & 128 = 0 AND flag & 8 = 0 GROUP BY ALL""",
+    "option_ranges": """SELECT * FROM (VALUES ('percentage', '0.0', false), ('percentage', '0.009', false), ('percentage', '0.01', true), ('percentage', '0.5', true), ('percentage', '1.0', true), ('percentage', '1.01', false),
+        ('split_window', 'None', true), ('split_window', '-50', false), ('split_window', '0', false), ('split_window', '1', true), ('split_window', '50', true), ('split_window', '500', true),
+        ('method', 'raw', true), ('method', 'acyclic', true), ('method', 'directional', true), ('method', 'other', false)) t(option, value, taken)""",
+    "group_tags": _clusters() + _PASSING + f" SELECT grp_pos, reverse, leader AS bx, {_TAG} AS ug, count(*) AS n_reads FROM own GROUP BY ALL",
+    "tagged_bam": _clusters() + _PASSING + f" SELECT 't' || read_ord AS qname, CAST(CASE WHEN reverse THEN 16 ELSE 0 END AS INT) AS flag, grp_pos AS pos, seq, leader AS bx, {_TAG} AS ug FROM own",
+    "fastq_order": f"WITH {FASTQ} SELECT row_number() OVER (ORDER BY read_ord) - 1 AS place, qname, seq FROM fq",
+    "bam_order": f"WITH {ALIGN} SELECT row_number() OVER (PARTITION BY chr ORDER BY pos, read_ord) AS place, chr, qname, flag, pos FROM aln",
+    "bam_region": f"WITH {ALIGN} SELECT qname, flag, chr, pos, cigar FROM aln WHERE chr = 2 AND pos >= 100 AND pos < 400 AND flag < 100",
+    "report_tsv": _REPORT,
+    "fasta_first": f"SELECT 'one' AS name, {_reference()} AS seq",
+    "file_names": """SELECT * FROM (VALUES ('a.fastq.gz', 'fastq', '/out/a.fastq_directional.gz', '/out/a_dedup_report.tsv'), ('b.bam', 'bam', '/out/b_directional.bam', '/out/b_dedup_report.tsv'), ('c.fq', 'fastq', '/out/c_directional.fq', '/out/c_dedup_report.tsv'),
+        ('d.fastq', 'fastq', '/out/d_directional.fastq', '/out/d_dedup_report.tsv'), ('e.fq.gz', 'fastq', '/out/e.fq_directional.gz', '/out/e_dedup_report.tsv')) t(name, kind, output, report)""",
 }
 
 SQL["paired_mates"] = f"""WITH RECURSIVE {ALIGN}, k AS (SELECT *, CASE WHEN reverse THEN ref_end + trail ELSE pos - lead END AS gp, string_split(qname, '_')[2] AS umi FROM aln WHERE flag & 128 = 0 AND flag & 8 = 0),

@@ -10,27 +10,36 @@ option pushdown, filters on chr, pos, flag and mapq are applied while decoding,
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from strandfold.sources import storage
+
 SCHEMA = "read_ord long, sample string, qname string, flag int, chr int, chr_name string, pos long, mapq int, cigar string, mate_chr int, mate_pos long, tlen long, seq string, qual binary, tags map<string,string>"
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 RANGE_BYTES, BATCH = 32 << 20, 5000
+#: Content of a block.
+BLOCK_BYTES = 65_280
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-_PAIRS = [a + b for a in BASES for b in BASES]
-_CODE = {c: i for i, c in enumerate(BASES)}
+FIXED = [("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mref", "<i4"), ("mpos", "<i4"), ("tlen", "<i4")]
+#: Content that is decoded at once.
+DECODE_BYTES = 2 << 20
+_LETTERS = np.frombuffer(BASES.encode(), np.uint8)
+_CODES = np.full(256, 15, np.uint8)
+for _i, _c in enumerate(BASES):
+    _CODES[ord(_c)] = _CODES[ord(_c.lower())] = _i
 _INTS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
 
-# --- BGZF ---------------------------------------------------------------------------------
+# --- BGZF
 
 
 def block_size(head: bytes) -> int | None:
@@ -76,7 +85,7 @@ def deflate(data: bytes, level: int = 6) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-# --- records ------------------------------------------------------------------------------
+# --- records
 
 
 def parse_header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
@@ -101,8 +110,8 @@ def parse_header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
 def read_header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
     """(text, references, place of the block with the first record, offset in it)."""
     data, ends = b"", []
-    with open(path, "rb") as f:
-        for at, some in blocks(f, 0, os.path.getsize(path)):
+    with storage.reader(path) as f:
+        for at, some in blocks(f, 0, storage.size(path)):
             ends.append((len(data), at))
             data += some
             try:
@@ -157,46 +166,160 @@ def decode_tags(raw: bytes) -> dict[str, str]:
     return out
 
 
-def encode_record(row: dict, refs: dict[str, int]) -> bytes:
-    """A record from a row; chr_name decides the reference where it is given. Tags are written as text (Z), whole numbers as i."""
-    ops = []
-    n = 0
-    for c in (row.get("cigar") or "").replace("*", ""):
+def _encode_cigar(cigar: str | None) -> tuple[bytes, int]:
+    """The operations as numbers, and how many reference bases they span."""
+    ops, n, span = [], 0, 0
+    for c in (cigar or "").replace("*", ""):
         if c.isdigit():
             n = n * 10 + int(c)
         else:
             ops.append(n << 4 | OPS.index(c))
+            span += n if c in "MDN=X" else 0
             n = 0
-    seq = row.get("seq") or ""
-    nib = [_CODE.get(c, 15) for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(nib[::2], nib[1::2]))
-    qual = bytes(row["qual"]) if row.get("qual") is not None else b"\xff" * len(seq)
-    if len(qual) != len(seq):
-        raise ValueError(f"sequence and qualities of {row.get('qname')} differ in length")
-    name = (row.get("qname") or "*").encode() + b"\0"
-    ref = refs.get(row["chr_name"], -1) if row.get("chr_name") is not None else row["chr"] if row.get("chr") is not None else -1
-    pos, mref, mpos = row.get("pos"), row.get("mate_chr"), row.get("mate_pos")
-    pos, mref, mpos = -1 if pos is None else pos, -1 if mref is None else mref, -1 if mpos is None else mpos
-    span = sum(o >> 4 for o in ops if OPS[o & 15] in "MDN=X") or 1
-    tags = b""
-    for k, v in {**(row.get("tags") or {}), **{t: row[c] for t, c in (("BX", "bx"), ("UG", "ug")) if row.get(c) is not None}}.items():
-        whole = v.lstrip("-").isdigit() and (v == "0" or not v.lstrip("-").startswith("0")) and abs(int(v)) < 2**31 and k not in ("BX", "UG")
-        tags += k.encode() + (b"i" + struct.pack("<i", int(v)) if whole else b"Z" + v.encode() + b"\0")
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), row.get("mapq") or 0, _bin(pos, pos + span), len(ops), row.get("flag") or 0, len(seq), mref, mpos, row.get("tlen") or 0)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tags
-    return struct.pack("<i", len(body)) + body
+    return struct.pack(f"<{len(ops)}I", *ops), span
 
 
-def _bin(beg: int, end: int) -> int:
-    """The index bin of an interval."""
-    end -= 1
-    for shift, offset in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if beg >= 0 and beg >> shift == end >> shift:
-            return offset + (beg >> shift)
-    return 4680 if beg < 0 else 0
+def _encode_tags(tags: dict[str, str]) -> bytes:
+    """Whole numbers as i, everything else as text (Z)."""
+    out = b""
+    for k, v in tags.items():
+        whole = v.lstrip("-").isdigit() and (v == "0" or not v.lstrip("-").startswith("0")) and abs(int(v)) < 2**31 and k not in ("BX", "UG")
+        out += k.encode() + (b"i" + struct.pack("<i", int(v)) if whole else b"Z" + v.encode() + b"\0")
+    return out
 
 
-# --- source -------------------------------------------------------------------------------
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string or binary column and the length of each value; null counts as empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return raw[at[0] : at[-1]] if len(column) else raw[:0], np.diff(at)
+
+
+def _bins(beg: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The index bin of each interval."""
+    out, last = np.zeros(len(beg), np.int64), np.maximum(end - 1, beg)
+    for shift, offset in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        out = np.where(beg >> shift == last >> shift, offset + (beg >> shift), out)
+    return np.where(beg < 0, 4680, out)
+
+
+class Encoder:
+    """Arrow batches as records, by whole columns; chr_name decides the reference where it is given."""
+
+    HEAD = np.dtype([("size", "<i4"), *FIXED])
+
+    def __init__(self, refs: dict[str, int]) -> None:
+        self.refs, self.cigars = refs, {}
+
+    def batch(self, b: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The records' bytes, and ref, pos, end and length of each for the index."""
+        n, have = b.num_rows, b.schema.names
+        column = lambda c: b.column(have.index(c)) if c in have else pa.nulls(n)
+        number = lambda c, none: np.array([none if x is None else x for x in column(c).to_pylist()], np.int64) if column(c).null_count or c not in have else column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = [(x or "*").encode() + b"\0" for x in column("qname").to_pylist()]
+        cigars = []
+        for c in column("cigar").to_pylist():
+            if c not in self.cigars:
+                if len(self.cigars) > 100_000:
+                    self.cigars.clear()
+                self.cigars[c] = _encode_cigar(c)
+            cigars.append(self.cigars[c])
+        seq, l_seq = _flat(column("seq").cast(pa.string()))
+        qual_column = column("qual").cast(pa.binary())
+        qual, l_qual = _flat(qual_column)
+        none = np.asarray(qual_column.is_null())
+        if (l_qual != np.where(none, 0, l_seq)).any():
+            at = int(np.flatnonzero(l_qual != np.where(none, 0, l_seq))[0])
+            raise ValueError(f"sequence and qualities of {column('qname')[at].as_py()} differ in length")
+        made: dict[tuple, bytes] = {}
+        tags = []
+        for t, x, g in zip(column("tags").to_pylist(), column("bx").to_pylist(), column("ug").to_pylist()):
+            pairs = t.items() if isinstance(t, dict) else t or ()
+            key = (tuple(map(tuple, pairs)), x, g)
+            if key not in made:
+                made[key] = _encode_tags({**dict(key[0]), **{k: v for k, v in (("BX", x), ("UG", g)) if v is not None}})
+            tags.append(made[key])
+        ref = number("chr", -1)
+        if "chr_name" in have:
+            ref = np.array([r if x is None else self.refs.get(x, -1) for r, x in zip(ref.tolist(), column("chr_name").to_pylist())], np.int64)
+        pos, span = number("pos", -1), np.array([max(1, c[1]) for c in cigars], np.int64)
+        ops = [c[0] for c in cigars]
+        l_name, l_ops, l_tags = (np.array([len(x) for x in some], np.int64) for some in (names, ops, tags))
+        size = 32 + l_name + l_ops + (l_seq + 1) // 2 + l_seq + l_tags
+        h = np.zeros(n, self.HEAD)
+        for c, v in (("size", size), ("ref", ref), ("pos", pos), ("l_name", l_name), ("mapq", number("mapq", 0)), ("bin", _bins(pos, pos + span)), ("n_ops", l_ops // 4), ("flag", number("flag", 0)), ("l_seq", l_seq), ("mref", number("mate_chr", -1)), ("mpos", number("mate_pos", -1)), ("tlen", number("tlen", 0))):
+            h[c] = v
+        out = np.zeros(int((size + 4).sum()), np.uint8)
+        at = np.cumsum(size + 4) - size - 4
+        out[at[:, None] + np.arange(36)] = h.view(np.uint8).reshape(n, 36)
+        at = at + 36
+        for some, length in ((names, l_name), (ops, l_ops)):
+            out[_runs(at, length)] = np.frombuffer(b"".join(some), np.uint8)
+            at = at + length
+        nibble, code = _runs(2 * at, l_seq), _CODES[seq]
+        high = nibble & 1 == 0
+        out[nibble[high] >> 1] = code[high] << 4
+        out[nibble[~high] >> 1] |= code[~high]
+        at = at + (l_seq + 1) // 2
+        out[_runs(at[none], l_seq[none])] = 255
+        out[_runs(at[~none], l_seq[~none])] = qual
+        out[_runs(at + l_seq, l_tags)] = np.frombuffer(b"".join(tags), np.uint8)
+        return out, {"ref": ref, "pos": pos, "end": pos + span, "size": size + 4}
+
+
+# --- index
+
+
+def index_bytes(n_refs: int, ref: np.ndarray, pos: np.ndarray, end: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
+    """A BAI index of coordinate-sorted records, from their virtual offsets: chunks by bin, and the first record over each 16 kb."""
+    out = bytearray(b"BAI\1" + struct.pack("<i", n_refs))
+    bins = _bins(pos, end)
+    cuts = np.searchsorted(ref, np.arange(n_refs + 1)) if not len(ref) or (ref >= 0).all() else np.searchsorted(np.where(ref < 0, n_refs, ref), np.arange(n_refs + 1))
+    for r in range(n_refs):
+        a, e = int(cuts[r]), int(cuts[r + 1])
+        order = np.argsort(bins[a:e], kind="stable") + a
+        new = np.ones(len(order), bool)  # a chunk goes on while records of one bin follow each other in the file
+        new[1:] = (bins[order[1:]] != bins[order[:-1]]) | (start[order[1:]] != stop[order[:-1]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(order)) - 1
+        chunk_bin = bins[order[first]]
+        numbers, at, count = np.unique(chunk_bin, return_index=True, return_counts=True)
+        out += struct.pack("<i", len(numbers))
+        for b, i, k in zip(numbers.tolist(), at.tolist(), count.tolist()):
+            pairs = np.stack([start[order[first[i : i + k]]], stop[order[last[i : i + k]]]], axis=1).astype("<u8")
+            out += struct.pack("<Ii", b, k) + pairs.tobytes()
+        wide = int(max(0, (int(end[a:e].max()) - 1 >> 14) + 1)) if e > a else 0
+        linear = np.full(wide, 2**63 - 1, np.int64)
+        if wide:
+            low, high = np.maximum(pos[a:e], 0) >> 14, np.maximum(end[a:e] - 1, 0) >> 14
+            np.minimum.at(linear, _runs(low, high - low + 1), np.repeat(start[a:e], high - low + 1))
+            for i in range(wide - 1, -1, -1):  # a window without records has the next one's offset
+                if linear[i] == 2**63 - 1:
+                    linear[i] = linear[i + 1]
+        out += struct.pack("<i", wide) + linear.astype("<u8").tobytes()
+    return bytes(out) + struct.pack("<Q", int((ref < 0).sum()))
+
+
+def indexed_span(data: bytes, ref: int) -> tuple[int, int] | None:
+    """(first, last) virtual offsets of a reference's records by its BAI index; None if it has none."""
+    at = 8
+    for r in range(struct.unpack_from("<i", data, 4)[0]):
+        low, high = None, None
+        n = struct.unpack_from("<i", data, at)[0]
+        at += 4
+        for _ in range(n):
+            _, k = struct.unpack_from("<Ii", data, at)
+            chunks = np.frombuffer(data, "<u8", 2 * k, at + 8).reshape(-1, 2)
+            low, high = min(int(chunks.min()), low if low is not None else 2**63), max(int(chunks.max()), high or 0)
+            at += 8 + 16 * k
+        at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
+        if r == ref:
+            return None if low is None else (low, high)
+    return None
+
+
+# --- source
 
 
 class BamSource(DataSource):
@@ -229,73 +352,148 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in _paths(self.path):
-            size = os.path.getsize(p)
-            out += [_Range(p, a, min(a + self.size, size), a == 0) for a in range(0, size, self.size)]
+            size = storage.size(p)
+            low, high = self._wanted(p, size)
+            out += [_Range(p, a, min(a + self.size, size), a == 0) for a in range(0, size, self.size) if a < high and a + self.size > low]
         return out
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for row in self._rows(part):
-            rows.append(row)
-            if len(rows) == BATCH:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    def _rows(self, part: _Range) -> Iterator[tuple]:
-        """Records that start in blocks that start in the range. read_ord: block place, then offset in the block, so it grows along the file."""
+    def _wanted(self, path: str, size: int) -> tuple[int, int]:
+        """The bytes that may hold what a filter on one reference lets through, if the file has an index beside it."""
+        refs = [v for c, op, v in self.bounds if c == "chr" and op == "=="]
+        if not refs or refs[0] < 0 or not storage.is_file(path + ".bai"):
+            return 0, size
+        with storage.reader(path + ".bai") as f:
+            span = indexed_span(f.read(), refs[0])
+        return (0, 0) if span is None else (span[0] >> 16, (span[1] >> 16) + 1)
+
+    def read(self, part: _Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # nothing that is wanted
+            return
         _, refs, first_block, first_offset = read_header(part.path)
-        names, sample = [r[0] for r in refs], os.path.basename(part.path)
-        size = os.path.getsize(part.path)
-        with open(part.path, "rb") as f:
+        sample, decoder = part.path.rpartition("/")[2], Decoder([r[0] for r in refs], self.bounds)
+        for data, at, ordinals in self._records(part, len(refs), first_block, first_offset):
+            for lo in range(0, len(at), BATCH):
+                batch = decoder.batch(data, at[lo : lo + BATCH], ordinals[lo : lo + BATCH], sample)
+                if batch.num_rows:
+                    yield batch
+
+    def _records(self, part: _Range, n_refs: int, first_block: int, first_offset: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """(bytes, where records begin in them, read_ord of each) of the records that start in blocks that start in the range.
+
+        read_ord: block place, then offset in the block, so it grows along the file.
+        """
+        size = storage.size(part.path)
+        with storage.reader(part.path) as f:
             start = first_block if part.start <= first_block else find_block(f, part.start, size)
             if start >= part.end:
                 return
-            data, marks, at = b"", [], None
-            gone = 0  # bytes of content dropped in front of data
-            for place, some in blocks(f, start, size):
-                if place >= part.end and (at is None or at >= len(data)):
-                    return
-                marks.append((gone + len(data), place))
-                data += some
+            data, marks, at = b"", [], first_offset if start == first_block else None
+            gone, some = 0, []  # bytes of content dropped in front of data; blocks not yet added to it
+            waiting = 0
+            for place, content in chain(blocks(f, start, size), [(size, b"")]):
+                marks.append((gone + len(data) + waiting, place))
+                some.append(content)
+                waiting += len(content)
+                if waiting < DECODE_BYTES and place < part.end:
+                    continue
+                data, some, waiting = data + b"".join(some), [], 0
                 if at is None:
-                    if start == first_block:
-                        at = first_offset
-                    else:
-                        at = next((i for i in range(len(data)) if plausible(data, i, len(refs))), None)
-                        if at is None or plausible(data, at, len(refs)) is None:
-                            at = None
-                            continue
+                    at = next((i for i in range(len(data)) if plausible(data, i, n_refs)), None)
+                    if at is None or plausible(data, at, n_refs) is None:
+                        at = None
+                        if place >= size:
+                            return
+                        continue
+                found = []
                 while at + 4 <= len(data):
-                    n = struct.unpack_from("<i", data, at)[0]
+                    n = int.from_bytes(data[at : at + 4], "little")
                     if at + 4 + n > len(data):
                         break
-                    begin = [m for m in marks if m[0] <= gone + at][-1]
-                    if begin[1] >= part.end:
-                        return
-                    row = self._row(data[at + 4 : at + 4 + n], (begin[1] << 16) | (gone + at - begin[0]), sample, names)
-                    if row:
-                        yield row
+                    found.append(at)
                     at += 4 + n
+                where = np.array(found, dtype=np.int64)
+                begins, places = (np.array(x, dtype=np.int64) for x in zip(*marks))
+                block = np.searchsorted(begins, where + gone, side="right") - 1
+                inside = places[block] < part.end if len(where) else np.zeros(0, bool)
+                where, block = where[inside], block[inside]
+                if len(where):
+                    yield data, where, (places[block] << 16) | (gone + where - begins[block])
+                following = np.searchsorted(begins, gone + at, side="right") - 1
+                if len(where) < len(found) or places[following] >= part.end:
+                    return
                 data, gone, at = data[at:], gone + at, 0
-                marks = [m for i, m in enumerate(marks) if i + 1 == len(marks) or marks[i + 1][0] > gone]
+                marks = marks[following:]
+
+
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start .. start + length - 1 of all runs, one run after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
+def _offsets(length: np.ndarray) -> pa.Buffer:
+    return pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
 
-    def _row(self, r: bytes, ordinal: int, sample: str, names: list[str]) -> tuple | None:
-        ref, pos, ln, mapq, _, n_ops, flag, n, mref, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", r, 0)
-        have = {"chr": ref, "pos": pos, "flag": flag, "mapq": mapq}
+
+class Decoder:
+    """Records as Arrow batches: fixed fields, names, sequences and qualities by whole columns; CIGARs and tags once per distinct value."""
+
+    HEAD = np.dtype(FIXED)
+    MOST_KEPT = 100_000
+
+    def __init__(self, names: list[str], bounds: list[tuple[str, str, int]]) -> None:
+        self.names, self.bounds = pa.array([*names, None], pa.string()), bounds
+        self.cigars: dict[bytes, str | None] = {}
+        self.tags: dict[bytes, list] = {}
+
+    def _each(self, data: bytes, start: np.ndarray, end: np.ndarray, known: dict, make, kind: pa.DataType) -> pa.Array:
+        if len(known) > self.MOST_KEPT:
+            known.clear()
+        number: dict[bytes, int] = {}
+        which = [number.setdefault(data[a:e], len(number)) for a, e in zip(start.tolist(), end.tolist())]
+        values = []
+        for raw in number:
+            if raw not in known:
+                known[raw] = make(raw)
+            values.append(known[raw])
+        return pa.array(values, kind).take(pa.array(which, pa.int32()))
+
+    def batch(self, data: bytes, at: np.ndarray, ordinals: np.ndarray, sample: str) -> pa.RecordBatch:
+        d = np.frombuffer(data, np.uint8)
+        h = np.ascontiguousarray(d[at[:, None] + np.arange(4, 36)]).view(self.HEAD).ravel()
+        keep = np.ones(len(at), bool)
         for c, op, v in self.bounds:
-            x = have[c]
-            if not (x == v if op == "==" else x > v if op == ">" else x >= v if op == ">=" else x < v if op == "<" else x <= v):
-                return None
-        at = 32 + ln
-        ops = struct.unpack_from(f"<{n_ops}I", r, at)
-        at += 4 * n_ops
-        half = (n + 1) // 2
-        seq = "".join([_PAIRS[b] for b in r[at : at + half]])[:n]
-        at += half
-        qual = r[at : at + n]
-        return (ordinal, sample, r[32 : 31 + ln].decode("latin-1"), flag, ref, names[ref] if ref >= 0 else None, pos, mapq, "".join([f"{o >> 4}{OPS[o & 15]}" for o in ops]) or None, mref, mpos, tlen, seq, qual, decode_tags(r[at + n :]))
+            x = h["ref" if c == "chr" else c].astype(np.int64)
+            keep &= x == v if op == "==" else x > v if op == ">" else x >= v if op == ">=" else x < v if op == "<" else x <= v
+        at, ordinals, h = at[keep], ordinals[keep], h[keep]
+        n, i8 = len(at), lambda c: h[c].astype(np.int64)
+        size = np.ascontiguousarray(d[at[:, None] + np.arange(4)]).view("<i4").ravel().astype(np.int64) if n else np.zeros(0, np.int64)
+        name = at + 36
+        ops = name + i8("l_name")
+        seq = ops + 4 * i8("n_ops")
+        l_seq = i8("l_seq")
+        qual = seq + (l_seq + 1) // 2
+        tags, end = qual + l_seq, at + 4 + size
+        raw = d[_runs(name, i8("l_name") - 1)]
+        if (raw >= 128).any():
+            names = pa.array([data[a : a + k - 1].decode("latin-1") for a, k in zip(name.tolist(), h["l_name"].tolist())], pa.string())
+        else:
+            names = pa.StringArray.from_buffers(n, _offsets(i8("l_name") - 1), pa.py_buffer(raw))
+        nibble = _runs(2 * seq, l_seq)
+        pair = d[nibble >> 1]
+        letters = _LETTERS[np.where(nibble & 1, pair & 15, pair >> 4)]
+        ref = h["ref"].astype(np.int32)
+        arrays = [
+            pa.array(ordinals, pa.int64()), pa.array([sample] * n, pa.string()), names, pa.array(h["flag"].astype(np.int32)), pa.array(ref), self.names.take(pa.array(np.where(ref >= 0, ref, len(self.names) - 1), pa.int32())),
+            pa.array(i8("pos")), pa.array(h["mapq"].astype(np.int32)), self._each(data, ops, seq, self.cigars, _cigar, pa.string()), pa.array(h["mref"].astype(np.int32)), pa.array(i8("mpos")), pa.array(i8("tlen")),
+            pa.StringArray.from_buffers(n, _offsets(l_seq), pa.py_buffer(letters)), pa.BinaryArray.from_buffers(pa.binary(), n, [None, _offsets(l_seq), pa.py_buffer(d[_runs(qual, l_seq)])]),
+            self._each(data, tags, end, self.tags, lambda raw: list(decode_tags(raw).items()), pa.map_(pa.string(), pa.string())),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+
+
+def _cigar(raw: bytes) -> str | None:
+    return "".join([f"{o >> 4}{OPS[o & 15]}" for o in struct.unpack(f"<{len(raw) // 4}I", raw)]) or None
 
 
 class _PushReader(_Reader):
@@ -316,76 +514,85 @@ _ARROW = pa.schema([
 ])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    arrays = [pa.array([list(x.items()) for x in c] if f.name == "tags" else c, f.type) for c, f in zip(cols, _ARROW)]
-    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
-
-
 def _paths(path: str) -> list[str]:
-    found = sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else sorted(glob.glob(path))
-    if not found and not os.path.isdir(path):
-        raise FileNotFoundError(path)
-    return found
+    return storage.find(path, lambda f: f.endswith(".bam"))
 
 
-# --- sink ---------------------------------------------------------------------------------
+# --- sink
 
 
 class _Message(WriterCommitMessage):
-    def __init__(self, trying: str | None, final: str | None) -> None:
-        self.trying, self.final = trying, final
+    def __init__(self, trying: str | None, final: str | None, indexed: bool = False) -> None:
+        self.trying, self.final, self.indexed = trying, final, indexed
 
 
 class _Writer(DataSourceArrowWriter):
-    """One BAM a partition; files appear under their names only when all tasks are done."""
+    """One BAM a partition, with an index beside it if it is in coordinate order; files appear under their names only when all tasks are done."""
 
     def __init__(self, options, overwrite: bool) -> None:
         self.path, self.header = options["path"], options.get("header", "")
-        if os.path.isdir(self.path) and os.listdir(self.path):
+        if storage.is_dir(self.path) and (old := storage.files(self.path)):
             if not overwrite:
                 raise FileExistsError(self.path)
-            for f in glob.glob(os.path.join(self.path, "part-*.bam")):
-                os.remove(f)
+            for f in old:
+                if f.endswith((".bam", ".bai")):
+                    storage.remove(f)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        final = os.path.join(self.path, f"part-{task.partitionId():05d}.bam")
-        trying = os.path.join(self.path, f".{task.partitionId():05d}-{task.taskAttemptId()}")
+        final = storage.join(self.path, f"part-{task.partitionId():05d}.bam")
+        trying = storage.join(self.path, f".{task.partitionId():05d}-{task.taskAttemptId()}")
         refs = header_references(self.header)
-        index = {name: i for i, (name, _) in enumerate(refs)}
-        some = False
-        with open(trying, "wb") as f:
-            buffer = header_bytes(self.header, refs)
+        encoder = Encoder({name: i for i, (name, _) in enumerate(refs)})
+        placed: dict[str, list[np.ndarray]] = {"ref": [], "pos": [], "end": [], "size": []}
+        head = header_bytes(self.header, refs)
+        where = [0]
+        with storage.writer(trying) as f:
+            buffer = bytearray(head)
+
+            def put(last: bool) -> None:
+                lo = 0
+                while len(buffer) - lo > (0 if last else BLOCK_BYTES):
+                    where.append(where[-1] + f.write(deflate(bytes(buffer[lo : lo + BLOCK_BYTES]))))
+                    lo += BLOCK_BYTES
+                del buffer[:lo]
+
             for b in batches:
-                for row in b.to_pylist():
-                    if isinstance(row.get("tags"), list):
-                        row["tags"] = dict(row["tags"])
-                    buffer += encode_record(row, index)
-                    some = True
-                while len(buffer) > 65280:
-                    f.write(deflate(bytes(buffer[:65280])))
-                    del buffer[:65280]
-            if buffer:
-                f.write(deflate(bytes(buffer)))
+                for lo in range(0, b.num_rows, BATCH):
+                    raw, own = encoder.batch(b.slice(lo, BATCH))
+                    buffer += raw.tobytes()
+                    for c, v in own.items():
+                        placed[c].append(v)
+                    put(False)
+            put(True)
             f.write(EOF)
-        if not some and task.partitionId() > 0:
-            os.remove(trying)
+        if not placed["ref"] and task.partitionId() > 0:
+            storage.remove(trying)
             return _Message(None, None)
-        return _Message(trying, final)
+        ref, pos, end, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in placed.values())
+        key = np.where(ref < 0, len(refs), ref)
+        if (np.diff(key) < 0).any() or ((np.diff(key) == 0) & (np.diff(pos) < 0) & (key[1:] < len(refs))).any():
+            return _Message(trying, final)  # not in coordinate order: no index
+        ends = len(head) + np.cumsum(size)
+        virtual = lambda c: (np.array(where, np.int64)[c // BLOCK_BYTES] << 16) | c % BLOCK_BYTES
+        with storage.writer(trying + ".bai") as f:
+            f.write(index_bytes(len(refs), ref, pos, end, virtual(ends - size), virtual(ends)))
+        return _Message(trying, final, True)
 
     def commit(self, messages) -> None:
         for m in messages:
             if m and m.trying:
-                os.replace(m.trying, m.final)
+                storage.move(m.trying, m.final)
+                if m.indexed:
+                    storage.move(m.trying + ".bai", m.final + ".bai")
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m and m.trying and os.path.exists(m.trying):
-                os.remove(m.trying)
+            for f in [m.trying, m.trying + ".bai"] if m and m.trying else []:
+                if storage.is_file(f):
+                    storage.remove(f)
 
 
 def header_references(text: str) -> list[tuple[str, int]]:

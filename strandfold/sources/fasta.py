@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
+from strandfold.sources import storage
 
 
 def first_record(path: str) -> tuple[str, str]:
     """(name, sequence)."""
     name, parts = None, []
-    with (gzip.open if path.endswith(".gz") else open)(path, "rt") as f:
-        for line in f:
+    with storage.text_reader(path) as f:
+        for raw in f:
+            line = raw.decode("latin-1")
             if line.startswith(">"):
                 if name is not None:
                     break

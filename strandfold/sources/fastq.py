@@ -3,29 +3,34 @@
     spark.dataSource.register(FastqSource); spark.read.format("fastq").load(path)
 
 A gzip file is one partition, since it can't be entered in the middle. A plain file is read
-in ranges of bytes; each range starts at the first whole record in it, and counts of
-records before it give read_ord.
+in ranges of bytes; each range starts at the first whole record in it. read_ord, and where
+records begin, follow from the lines before the range: read_fastq() counts the line ends of
+all ranges in one job of its own, each byte once, and hands the sums to the source. Paths may be URIs.
 """
 
 from __future__ import annotations
 
-import glob
-import gzip
-import os
+import json
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandfold.sources import storage
+
 SCHEMA = "read_ord long, sample string, qname string, descr string, seq string, qual string"
 BATCH = 10_000
 RANGE_BYTES = 64 << 20
 
 
 class FastqSource(DataSource):
-    """Options: path (file, folder or pattern), rangebytes."""
+    """Options: path (file, folder or pattern), rangebytes, and lines: JSON of the lines before each range of each file.
+
+    Without lines, a range that doesn't begin its file counts those before it by itself.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -46,30 +51,31 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path, self.size = options["path"], int(options.get("rangebytes", RANGE_BYTES))
+        self.lines = json.loads(options.get("lines", "{}"))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in _paths(self.path):
-            size = os.path.getsize(p)
-            if p.endswith(".gz") or size <= self.size:
-                out.append(_Range(p, 0, -1, 0))
-                continue
-            starts = list(range(0, size, self.size))
-            out += [_Range(p, a, min(a + self.size, size), -1) for a in starts]
+            many = ranges(p, self.size)
+            before = self.lines.get(p, [-1] * len(many))
+            out += [_Range(p, a, b, n) for (a, b), n in zip(many, before)] if many else [_Range(p, 0, -1, 0)]
         return out
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        sample = os.path.basename(part.path)
+    def read(self, part: _Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no files
+            return
+        sample = part.path.rpartition("/")[2]
         if part.end < 0:
-            with (gzip.open if part.path.endswith(".gz") else open)(part.path, "rb") as f:
+            with storage.text_reader(part.path) as f:
                 yield from _batches(_records(f), sample, 0)
             return
-        with open(part.path, "rb") as f:
-            before = _lines_before(part.path, part.start) if part.start else 0
-            f.seek(part.start)
-            if part.start:
+        with storage.reader(part.path) as f:
+            before = part.before if part.before >= 0 else _ends_in(f, 0, part.start)
+            if part.start:  # a line that began before the range counts with those before it
+                f.seek(part.start - 1)
+                before += f.read(1) != b"\n"
                 f.seek(part.start - 1)
-                f.readline()  # the rest of a line that began before; nothing where the range begins a line
+                f.readline()  # the rest of that line; nothing where the range begins a line
             skip = -before % 4
             for _ in range(skip):
                 f.readline()
@@ -77,22 +83,22 @@ class _Reader(DataSourceReader):
 
 
 def _paths(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return [f for f in sorted(glob.glob(os.path.join(path, "*"))) if os.path.isfile(f) and f.rpartition(".")[2] in ("fastq", "fq", "gz") and not os.path.basename(f).startswith((".", "_"))]
-    found = sorted(glob.glob(path))
-    if not found:
-        raise FileNotFoundError(path)
-    return found
+    return storage.find(path, lambda f: f.rpartition(".")[2] in ("fastq", "fq", "gz", "txt"))  # txt: what Spark calls the parts that write_fastq leaves
+
 
+def ranges(path: str, size: int) -> list[tuple[int, int]]:
+    """The ranges of bytes that a file is read in; none if it is read as a whole."""
+    n = storage.size(path)
+    return [] if path.endswith(".gz") or n <= size else [(a, min(a + size, n)) for a in range(0, n, size)]
 
-def _lines_before(path: str, at: int) -> int:
-    """Line ends before a place: the lines that begin before it are one more, unless it begins one itself."""
-    n, last = 0, b"\n"
-    with open(path, "rb") as f:
-        left = at
-        while left > 0 and (b := f.read(min(left, 1 << 24))):
-            n, last, left = n + b.count(b"\n"), b[-1:], left - len(b)
-    return n if last == b"\n" else n + 1
+
+def _ends_in(f, start: int, end: int) -> int:
+    """Line ends in a range of bytes."""
+    f.seek(start)
+    n, left = 0, end - start
+    while left > 0 and (b := f.read(min(left, 1 << 22))):
+        n, left = n + b.count(b"\n"), left - len(b)
+    return n
 
 
 def _records(f, end: int | None = None) -> Iterator[tuple[bytes, bytes, bytes]]:
@@ -127,9 +133,31 @@ def _batches(records: Iterator[tuple[bytes, bytes, bytes]], sample: str, n: int)
         yield batch()
 
 
+def lines_before(spark: SparkSession, paths: list[str], size: int) -> dict[str, list[int]]:
+    """For each file that is read in ranges, the line ends before each range: one number a range comes to the driver."""
+    todo = [(p, i, a, b) for p in paths for i, (a, b) in enumerate(ranges(p, size))]
+    if not todo:
+        return {}
+
+    def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bs:
+            counts = []
+            for path, start, end in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
+                with storage.reader(path) as f:
+                    counts.append(_ends_in(f, start, end))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["path", "i", "n"])
+
+    df = spark.createDataFrame(todo, "path string, i int, a long, b long").repartition(len(todo), "path", "i")
+    counts: dict[str, list[int]] = {}
+    for r in sorted(df.mapInArrow(run, "path string, i int, n long").collect(), key=lambda r: (r["path"], r["i"])):
+        counts.setdefault(r["path"], []).append(r["n"])
+    return {p: list(accumulate([0, *n[:-1]])) for p, n in counts.items()}
+
+
 def read_fastq(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").options(**options).load(path)
+    lines = lines_before(spark, _paths(path), int(options.get("rangebytes", RANGE_BYTES)))
+    return spark.read.format("fastq").options(**options, **({"lines": json.dumps(lines)} if lines else {})).load(path)
 
 
 def frames(reads: DataFrame) -> DataFrame:

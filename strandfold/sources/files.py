@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+from strandfold.sources import storage
 
 KINDS = {".fastq.gz": "fastq", ".fq.gz": "fastq", ".fastq": "fastq", ".fq": "fastq", ".bam": "bam"}
 
@@ -14,11 +14,11 @@ def kind(path: str) -> str | None:
 def gather(path: str) -> list[tuple[str, str]]:
     """(file, kind) of one file, or of the files right in a folder, by name; others in a folder are passed over.
 
-    A lone file of an unknown kind is an error.
+    path may be a URI. A lone file of an unknown kind is an error.
     """
-    if os.path.isdir(path):
-        return [(f, k) for f in sorted(os.path.join(path, x) for x in os.listdir(path)) if os.path.isfile(f) and (k := kind(f))]
-    if not os.path.exists(path):
+    if storage.is_dir(path):
+        return [(f, k) for f in storage.files(path) if (k := kind(f))]
+    if not storage.is_file(path):
         raise FileNotFoundError(path)
     if not (k := kind(path)):
         raise ValueError(f"neither FASTQ nor BAM: {path}")
@@ -27,11 +27,11 @@ def gather(path: str) -> list[tuple[str, str]]:
 
 def output_name(path: str, suffix: str, outdir: str | None = None) -> str:
     """The name with _suffix before its last extension."""
-    folder, name = os.path.split(path)
+    folder, _, name = path.rpartition("/")
     stem, dot, end = name.rpartition(".")
     new = f"{stem}_{suffix}.{end}" if dot else f"{name}_{suffix}"
-    return os.path.join(folder if outdir is None else outdir, new)
+    return storage.join(folder if outdir is None else outdir, new)
 
 
 def report_name(path: str, tool: str, outdir: str) -> str:
-    return os.path.join(outdir, f"{os.path.basename(path).split('.')[0]}_{tool}_report.tsv")
+    return storage.join(outdir, f"{path.rpartition('/')[2].split('.')[0]}_{tool}_report.tsv")

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from strandfold.sources import storage
+
+#: A report is a row, or a row a reference sequence; more rows than this aren't one.
+MOST_ROWS = 1_000_000
 
 
 def write_tsv(report: DataFrame, path: str) -> None:
-    """A folder with one file; reports are a row, or a row a reference."""
-    report.coalesce(1).write.csv(path, sep="\t", header=True)
+    """One file of that very name. Nulls are written as nothing; tabs and line ends in values as spaces."""
+    rows = report.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError("too many rows for a report; write the table itself")
+    clean = lambda v: "" if v is None else str(v).translate({9: " ", 10: " ", 13: " "})
+    with storage.writer(path) as f:
+        for row in [report.columns, *rows]:
+            f.write(("\t".join(map(clean, row)) + "\n").encode())
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", header=True, schema=schema)

@@ -27,7 +27,7 @@ def test_fastq_from_extraction_to_dedup(spark, tmp_path):
         os.rename(tmp_path / n, tmp_path / "all" / n)
     done = api.dedup_files(spark, str(tmp_path / "all"), str(tmp_path / "out"))
     assert [v is None for _, v in sorted(done.items())] == [False, True]
-    (report,) = glob.glob(str(tmp_path / "out" / "in_dedup_report.tsv" / "part*"))
+    (report,) = glob.glob(str(tmp_path / "out" / "in_dedup_report.tsv"))
     head, row = open(report).read().strip().split("\n")
     got = dict(zip(head.split("\t"), row.split("\t")))
     assert (got["num_reads_input_file"], got["num_passing_groups"], got["num_total_barcodes"]) == ("60", "3", "3")
@@ -57,3 +57,21 @@ def test_bam(spark, tmp_path, mode):
     if mode == "merge":
         r = out.orderBy("pos").first()
         assert r.qname.endswith(":MERGED") and (r.pos, r.cigar, r.seq) == (20, "30=", ref[20:50])
+
+
+def test_one_file_windows_and_coverage(spark, tmp_path):
+    rows = [(i, f"q{i}_ACGT", 0, 0, "c", 10 + 300 * (i % 2), 60, "8M", "ACGTACGT", b"I" * 8) for i in range(12)]
+    df = spark.createDataFrame(rows, "read_ord long, qname string, flag int, chr int, chr_name string, pos long, mapq int, cigar string, seq string, qual binary")
+    bam.write_bam(df, str(tmp_path / "w"), "@SQ\tSN:c\tLN:1000\n", files=1)
+    os.rename(glob.glob(str(tmp_path / "w" / "*.bam"))[0], tmp_path / "in.bam")
+    uri = f"file://{tmp_path}"
+    for window in (None, 50):
+        assert api.dedup_files(spark, f"{uri}/in.bam", f"{uri}/o{window}", split_window=window, one_file=True) == {f"{uri}/in.bam": None}
+        assert (tmp_path / f"o{window}" / "in_directional.bam").is_file() and (tmp_path / f"o{window}" / "in_directional.bam.bai").is_file()
+        assert bam.read_bam(spark, f"{uri}/o{window}/in_directional.bam").count() == 2
+    for wrong in (0, -5, 1.5):
+        with pytest.raises(ValueError):
+            api.dedup_files(spark, f"{uri}/in.bam", f"{uri}/o", split_window=wrong)
+    assert api.coverage_files(spark, f"{uri}/in.bam", f"{uri}/cov") == {f"{uri}/in.bam": None}
+    head, row = (tmp_path / "cov" / "in_coverage.tsv").read_text().strip().split("\n")
+    assert dict(zip(head.split("\t"), row.split("\t")))["covbases"] == "16"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandfold.operators import consensus
 from strandfold.operators.bundles import ranked, umi_counts
 from strandfold.operators.clusters import clusters, reach
-from strandfold.operators.neighbors import edges
+from strandfold.operators.neighbors import edges, pairs, pairs_by_gap
 from strandfold.schema import BUNDLE, with_bundle
 
 
@@ -178,3 +178,20 @@ def test_empty(spark):
     out, report = consensus.dedup(frame(spark, []))
     r = report.first()
     assert out.count() == 0 and r.num_total_groups == 0 and r.min_reads_group is None
+
+
+def test_pairs_of_one_large_bundle(spark):
+    rng = random.Random(2)
+    umis = sorted({"".join(rng.choice("ACGTN") for _ in range(rng.choice([4, 5]))) for _ in range(400)})
+    df = with_bundle(spark.createDataFrame([(u, i + 1, 1) for i, u in enumerate(umis)], "umi string, rank int, n_reads long"))
+    want = sorted((i + 1, j + 1) for i, u in enumerate(umis) for j, v in enumerate(umis) if i < j and ham(u, v) == 1)
+    for p in (pairs_by_gap(df), pairs(df, 1)):
+        assert sorted((r.u_rank, r.v_rank) for r in p.collect()) == want
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    from strandfold.operators import clusters as c
+
+    path = with_bundle(spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "u_rank int, v_rank int")).select(*BUNDLE, "u_rank", "v_rank")
+    monkeypatch.setattr(c, "MOST_ROUNDS", 8)
+    assert {(r.rank, r.least) for r in c.reach(path, 10).collect()} == {(i, 1) for i in range(1, 61)}

@@ -149,3 +149,26 @@ def test_realign_query_takes_every_pair(spark, monkeypatch):
             (r,) = rows
             assert r.status == "merged" and r.seq == catalog.REFERENCE[start : start + 20 + offset]
             assert score(r.seq, catalog.REFERENCE, r.pos, r.cigar) == best(r.seq, catalog.REFERENCE)
+
+
+def test_long_references_give_what_short_ones_do():
+    """Seeds and stretches against all placements at once."""
+    rng = random.Random(11)
+    ref = "".join(rng.choice("ACGT") for _ in range(3000))
+    whole, long = align.ReferenceIndex(ref), align.ReferenceIndex(ref, stretch=500)
+    assert whole.blocks is None and long.blocks is not None
+    for _ in range(25):
+        at = rng.randrange(2900)
+        q = list(ref[at : at + rng.randint(45, 90)])
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(q))
+            q[i : i + 1] = rng.choice([[], [rng.choice("ACGT")], [q[i], "A"]])
+        q = "".join(q)
+        assert long.align(q) == whole.align(q)
+    short = "ACGTTGCA"  # no word of block length: stretch by stretch
+    assert long.align(short + "N") == whole.align(short + "N") and long.align("") == (0, "")
+
+
+def test_reads_without_a_barcode_pass(spark):
+    df = spark.createDataFrame([row(0, "a", 0, 10, "ATCG", bx=None), row(1, "b", 16, 13, "GATC", bx=None), row(2, "c", 0, 10, "ATCG")], ROW)
+    assert sorted((r.read_ord, r.status) for r in pairs.merge_pairs(df, None, 1).collect()) == [(0, None), (1, None), (2, None)]

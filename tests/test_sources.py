@@ -1,7 +1,10 @@
+import glob
 import gzip
 import os
 import random
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +120,54 @@ def test_dedup_tags_are_written(spark, tmp_path):
     bam.write_bam(df, str(tmp_path / "o"), HEADER)
     tags = [r.tags for r in bam.read_bam(spark, str(tmp_path / "o")).collect()]
     assert tags and all(t["BX"] == "ACG" and t["UG"] == "t1" for t in tags)
+
+
+def test_bam_index(spark, tmp_path):
+    """Each record lies in a chunk of its bin and not before the offset of its window; a filter on one reference reads its ranges only."""
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(3), rng.randrange(400_000), i) for i in range(5000))
+    df = spark.createDataFrame([(i, f"q{i}", 0, c, p, "40M", "A" * 40, b"I" * 40) for c, p, i in rows if c != 1] + [(9999, "u", 4, -1, -1, None, "A", b"I")], "read_ord long, qname string, flag int, chr int, pos long, cigar string, seq string, qual binary")
+    header = "".join(f"@SQ\tSN:c{i}\tLN:500000\n" for i in range(3))
+    bam.write_bam(df, str(tmp_path / "w"), header, files=1)
+    (file,), (index,) = glob.glob(str(tmp_path / "w" / "*.bam")), glob.glob(str(tmp_path / "w" / "*.bai"))
+    data, at, seen = open(index, "rb").read(), 8, {}
+    back = {r.qname: (r.read_ord, r.chr, r.pos) for r in bam.read_bam(spark, file).collect()}
+    assert len(back) == df.count() and data[:4] == b"BAI\1" and struct.unpack_from("<i", data, 4)[0] == 3
+    for ref in range(3):
+        n, at = struct.unpack_from("<i", data, at)[0], at + 4
+        chunks = {}
+        for _ in range(n):
+            b, k = struct.unpack_from("<Ii", data, at)
+            chunks[b] = [struct.unpack_from("<QQ", data, at + 8 + 16 * i) for i in range(k)]
+            at += 8 + 16 * k
+        wide = struct.unpack_from("<i", data, at)[0]
+        linear = struct.unpack_from(f"<{wide}Q", data, at + 4)
+        at += 4 + 8 * wide
+        for v, c, p in back.values():
+            if c == ref:
+                b = int(bam._bins(np.array([p]), np.array([p + 40]))[0])
+                assert any(a <= v < e for a, e in chunks[b]) and linear[p >> 14] <= v
+                seen[ref] = seen.get(ref, 0) + 1
+    assert at + 8 == len(data) and struct.unpack_from("<Q", data, at)[0] == 1 and set(seen) == {0, 2}
+    for ref in range(3):
+        got = bam.read_bam(spark, file, rangebytes=3000).where(f"chr = {ref}").collect()
+        assert len(got) == seen.get(ref, 0)
+    assert bam.indexed_span(data, 1) is None and bam.indexed_span(data, 0)[1] <= bam.indexed_span(data, 2)[0]
+
+
+def test_uris_and_line_counts(spark, tmp_path):
+    """Paths as URIs, for all sources and sinks; line ends are counted in one job, and ranges read only their own bytes."""
+    text = "".join(f"@r{i} x\n{'ACGT' * (1 + i % 5)}\n+\n{'IIII' * (1 + i % 5)}\n" for i in range(500))
+    (tmp_path / "a.fq").write_text(text)
+    uri = f"file://{tmp_path}/a.fq"
+    lines = fastq.lines_before(spark, [uri], 777)
+    assert lines[uri] == [text.encode()[:a].count(b"\n") for a in range(0, len(text), 777)]
+    for size in (777, 100, 10**6):
+        got = fastq.read_fastq(spark, uri, rangebytes=size).orderBy("read_ord").collect()
+        assert [(r.read_ord, r.qname, len(r.seq)) for r in got] == [(i, f"r{i}", 4 * (1 + i % 5)) for i in range(500)]
+    df = spark.createDataFrame([(1, "q", 0, 0, 5, "4M", "ACGT", b"IIII")], "read_ord long, qname string, flag int, chr int, pos long, cigar string, seq string, qual binary")
+    bam.write_bam(df, f"file://{tmp_path}/w", "@SQ\tSN:c\tLN:50\n")
+    assert bam.read_bam(spark, f"file://{tmp_path}/w").count() == 1
+    assert files.gather(f"file://{tmp_path}") == [(f"file://{tmp_path}/a.fq", "fastq")]
+    with pytest.raises(FileNotFoundError):
+        fastq.read_fastq(spark, f"file://{tmp_path}/none*.fq")
