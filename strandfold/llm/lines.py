@@ -150,7 +150,16 @@ def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
     """(ha, hb) with a common key."""
     index = index.select("key", F.col("h1").alias("ha"))
     probe = probe.select("key", F.col("h1").alias("hb"))
-    return probe.join(index.hint("shuffle_hash"), "key").where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
+    return probe.join(index, "key").where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
+
+
+_LOCAL_MAP, HASHED_BYTES = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", 32 << 20
+
+
+def _hash_where_small(spark: SparkSession) -> None:
+    """Let joins hash a partition where its measured size is small, and sort, which can spill, where it isn't; a value that the session has set stays."""
+    if spark.conf.get(_LOCAL_MAP, "0b") in ("0", "0b"):
+        spark.conf.set(_LOCAL_MAP, str(HASHED_BYTES))
 
 
 def _hot_pairs(long: DataFrame, hot: DataFrame, edits: int, hot_rows: int, depth: int) -> DataFrame:
@@ -192,6 +201,7 @@ def _ids(line: str = "line") -> list[Column]:
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, hot_rows: int = HOT, depth: int = DEPTH) -> DataFrame:
     """(id, removed array<int>) for the documents of (id, text) that lose lines: the line numbers, from 0."""
+    _hash_where_small(docs.sparkSession)
     place = F.struct("id", "no")
     filled = _lines(docs).where("length(trim(line)) > 0")
     own = filled.select("id", "no", *_ids())
@@ -217,11 +227,19 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     texts = stored(_lines(docs).join(small(needed), there).select(F.struct("id", "no").alias("p"), "h1", "line"), "line-texts")
     text = lambda s: texts.select(F.col("p").alias(s), F.col("h1").alias(f"{s}1"), F.col("line").alias(f"t{s}"))
     pieces = 8
-    near = pairs.join(text("a"), ["a", "a1"]).join(text("b"), ["b", "b1"]).where(surviving(F.col("ta"), F.col("tb"), edits, pieces) >= pieces - edits)
-    distance = _let(trimmed(F.col("ta"), F.col("tb"), edits + 1), lambda t: bit_parallel_distance(t["a"], t["b"], edits))
-    links = near.where(distance <= edits)
-    later = links.select(F.when(F.col("a") < F.col("b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).alias("h"))
-    later = stored(later.select("h.*").distinct().withColumn("near", F.lit(True)), "later-lines")
+    late = [F.when(F.col("a") < F.col("b"), F.col(f"b{i}")).otherwise(F.col(f"a{i}")).alias(f"h{i}") for i in (1, 2)]
+
+    def settled(some: DataFrame) -> DataFrame:
+        """(h1, h2) of the later lines of the pairs that are within the edits."""
+        near = some.join(text("a"), ["a", "a1"]).join(text("b"), ["b", "b1"]).where(surviving(F.col("ta"), F.col("tb"), edits, pieces) >= pieces - edits)
+        distance = _let(trimmed(F.col("ta"), F.col("tb"), edits + 1), lambda t: bit_parallel_distance(t["a"], t["b"], edits))
+        return near.where(distance <= edits).select(*late).distinct()
+
+    # one near line before it is enough: the earliest is tried first, the others only for lines that it leaves open
+    tried = pairs.select("*", *late).groupBy("h1", "h2").agg(F.min_by(F.struct("a1", "a2", "b1", "b2", "a", "b"), F.least("a", "b")).alias("p")).select("p.*")
+    one = stored(settled(tried), "later-lines")
+    rest = pairs.select("*", *late).join(small(one), ["h1", "h2"], "left_anti").drop("h1", "h2").exceptAll(tried)
+    later = stored(one.union(settled(rest)).withColumn("near", F.lit(True)), "later-lines")
     flags = firsts.join(later, ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "first", "near")
     gone = own.join(flags, ["h1", "h2"]).where("near or not (first.id <=> id and first.no = no)")
     return gone.groupBy("id").agg(F.sort_array(F.collect_list("no")).alias("removed"))
@@ -231,7 +249,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     """All rows and columns of docs with text cut down, plus n_lines, n_removed, removed (line numbers from 0).
 
     Lines are cut at "\\n". A null text stays null and has no lines; an empty one has one
-    blank line, which stays. The key orders the corpus and must tell documents apart; rows
+    blank line, which stays; a very long line is compared whole. Of repeated lines the first stays. The key orders the corpus and must tell documents apart; rows
     with one key (or none) lose the lines of any of them. Columns of docs with our names
     are replaced. An empty table gives an empty result.
     """
@@ -252,8 +270,8 @@ def op2_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_segment_lines": op2_segment_lines}
-#: levenshtein() counts bytes, so the letters with accents become single bytes first.
-_ACCENTS = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ"
+#: levenshtein() counts bytes, so these become single bytes first; lines with other characters beyond ASCII may be farther apart here.
+_ACCENTS = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍàáôú\u00a0"
 _BYTES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(_ACCENTS)])
 #: All pairs of distinct lines of about one length of which a third stands in the other.
 SQL = {

@@ -10,8 +10,11 @@ the threshold are compared on their full sets.
 Texts with one and the same set form a class with one representative, so thousands of copies
 are one row here. Of a band with n representatives only n - 1 pairs (each with the smallest
 id) are looked at first; what these leave in different components is then compared block
-by block, pairs inside one component being decided already. So no link between different
-components is lost, and no group is turned into all its pairs.
+by block, pairs inside one component being decided already. A band with more than HOT_BAND
+representatives, as of very many texts with one long passage in common, is first parted by the bands
+that its texts share besides, DEEPER levels deep: similar texts share more than three bands of
+the 25 but for about one pair in 30,000 at a similarity of 0.85 (one in 600 at 0.8),
+and the others fall apart. So no group is turned into all its pairs.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ from pyspark.sql import functions as F
 
 from strandfold.llm import textnum
 from strandfold.llm.graph import components
-from strandfold.llm.shared import small, stored, table
+from strandfold.llm.shared import batched, small, stored, table
 
 REGISTERS, ROWS = 100, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Candidates whose estimate is this much below the threshold aren't verified: over four standard errors.
 SLACK = 0.15
 BLOCK = 512
+HOT_BAND, DEEPER = 2048, 2
+#: Shingles of the texts that are verified against one text in one group.
+GROUP_SHINGLES = 200_000
 SLICE = 1 << 18
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, REGISTERS, dtype=np.uint64) | np.uint64(1)
 
@@ -114,13 +120,13 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of (id, text) rows with 100 * intersection >= percent * union, on full shingle sets.
+def verify(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of (id, text) rows, whose sets have the sizes (id, n), with 100 * intersection >= percent * union, on full shingle sets.
 
-    The texts of the b of one a come together in groups of about 256, each with a's text.
+    The texts of the b of one a come together in groups of about GROUP_SHINGLES shingles, each with a's text.
     """
-    pairs = stored(pairs, "pairs")
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("groups"))
+    pairs = stored(pairs.join(sizes.withColumnRenamed("id", "b"), "b").select("a", "b", "n"), "pairs")
+    load = pairs.groupBy("a").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("groups"))
     pairs = pairs.join(load, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     members = pairs.select("a", "g", "b").join(texts.withColumnRenamed("id", "b"), "b").select("a", "g", "b", "text")
     heads = load.join(texts.withColumnRenamed("id", "a"), "a").select(F.col("a"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.concat("text").alias("head"))
@@ -146,13 +152,33 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Likely pairs of one band that the pairs with its smallest id left in different components.
 
+    Hot bands are parted by further bands, of which a pair has to share the next one, too.
+    """
+    labels = labels.withColumnRenamed("component", "c")
+    m = members.join(labels, "id", "left").select("band", F.xxhash64("value").alias("value"), "id", "pivot", F.coalesce("c", "id").alias("c"))
+    out = None
+    for depth in range(DEEPER + 1):
+        mixed = m.groupBy("band", "value").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1 and c0 <> c1").select("band", "value", "k")
+        mixed = stored(mixed, "mixed-bands")
+        last = depth == DEEPER
+        some = _in_blocks(m.join(mixed if last else mixed.where(F.col("k") <= HOT_BAND), ["band", "value"]), reps, least)
+        out = some if out is None else out.union(some)
+        hot = mixed.where(F.col("k") > HOT_BAND)
+        if last or hot.isEmpty():
+            break
+        others = members.select("id", F.col("band").alias("next"), F.col("value").alias("also"))
+        m = m.join(hot.drop("k"), ["band", "value"]).join(others, "id").where("next > band")
+        m = stored(m.select(F.col("next").alias("band"), F.xxhash64("value", "also").alias("value"), "id", "pivot", "c"), "deeper-bands")
+    return out.distinct()
+
+
+def _in_blocks(m: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Likely pairs of different components in each (band, value) of m, whose members are k.
+
     Bands are cut into blocks of about BLOCK members; each two blocks meet in one task,
     which compares sketches and gives out only likely pairs.
     """
-    m = members.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = m.groupBy("band", "value").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 2 and c0 <> c1")
-    mixed = mixed.select("band", "value", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(mixed, ["band", "value"]).join(reps.select("id", "n", "regs"), "id")
+    m = m.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).join(reps.select("id", "n", "regs"), "id")
     m = m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     m = m.withColumn("other", other).select("band", "value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "pivot", "c", "n", "regs")
@@ -173,29 +199,31 @@ def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, least: fl
                 b += np.maximum(ids[i], ids[j]).tolist()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return m.groupBy("band", "value", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return m.groupBy("band", "value", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: the smallest key reachable over links of similar sets.
 
-    A-Z count as a-z. Texts without words are linked with nothing. A row without a key is
-    linked with nothing and kept, its component null. Rows with one key are one document of
-    several texts. Other columns aren't read; an empty table gives an empty result.
+    A-Z count as a-z. Null and empty texts and those without words are linked with nothing; very long
+    ones are compared whole. A row without a key is linked with nothing and kept, its
+    component null. Rows with one key are one document of several texts, repeated rows one
+    of equal ones. Other columns aren't read; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = batched(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     least = percent / 100 - SLACK
     own = stored(sketches(docs, size), "sketches")
     classes = stored(own.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "classes")
     reps = classes.select("id", "n", "regs").dropDuplicates(["id"])
+    sizes = reps.select("id", "n")
     value = lambda i: F.substring("regs", i * 2 * ROWS + 1, 2 * ROWS)
     bands = classes.select("id", F.posexplode(F.array(*[value(i) for i in range(REGISTERS // ROWS)])).alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.min("id").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
     members = stored(bands.join(shared, ["band", "value"]).distinct(), "members")
     texts = stored(docs.join(small(members.select("id").distinct()), "id"), "texts")
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verify(likely(star, reps, least), texts, size, percent), "links")
-    more = stored(verify(rest_pairs(members, components(links), reps, least), texts, size, percent), "links")
+    links = stored(verify(likely(star, reps, least), texts, sizes, size, percent), "links")
+    more = stored(verify(rest_pairs(members, components(links), reps, least), texts, sizes, size, percent), "links")
     labels = components(links.union(more))
     labels = classes.select("h1", "h2", "n", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = own.select("id", "n", "h1", "h2").join(labels, ["h1", "h2", "n"], "left")

@@ -70,6 +70,22 @@ def test_near_duplicates(spark, seed, size, percent):
     assert setsketch.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_hot_bands_are_parted(spark, monkeypatch):
+    """Many different texts around one long passage: bands that many share, and near copies to be found among them."""
+    monkeypatch.setattr(setsketch, "HOT_BAND", 4)
+    monkeypatch.setattr(setsketch, "BLOCK", 3)
+    rng = random.Random(12)
+    passage, some = words(rng, 200, 5000), []
+    for k in range(60):
+        w = passage + words(rng, 120, 50_000)
+        some += [(k * 2, " ".join(w), "", "", 0)]
+        if k % 4 == 0:
+            some += [(k * 2 + 1, " ".join([*w[:-2], "an", "end"]), "", "", 0)]
+    want = groups([(r[0], r[1]) for r in some], 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(frame(spark, some), 3, 85).collect()}
+    assert got == want and sum(c != k for k, (_, c) in want.items()) == 15
+
+
 def test_estimates_and_merging():
     rng = np.random.default_rng(3)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
@@ -373,10 +389,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     docs = [(k, t if k % 13 else t + "\n" + item, "en", "s", len(t)) for k, t, *_ in docs]
     docs += [(200 + i, docs[i * 2 + 1][1] + " tail", "en", "s", 0) for i in range(20)] + [(300, "A shared line of some length.\n" + docs[5][1], "", "", 0), (301, "A shared line of some lengthy.\n" + docs[6][1], "", "", 0)]
     docs += [(400, None, None, None, None), (401, "", "", "", 0), (402, "   ", "", "", 3)]
-    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    without_id = [(None, "a clean text without an id and with words", "en", "s", 0), (None, item + " leaks without an id", "en", "s", 0)]
+    frame(spark, docs + without_id).withColumn("__key", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    t = encoding.load(bpe.tokenizer_file("byte_bpe_50k.json"))
+    assert [r.ids for r in got if r.doc_id is None] in ([], [t.encode(without_id[0][1], add_special_tokens=False).ids])
+    got = {r.doc_id: r for r in got if r.doc_id is not None}
     held = [zlib.crc32(str(k).encode()) % 5 == 0 for k, *_ in docs]
     x = quality.features(pa.array([d[1] for d in docs], pa.string()))
     y = np.array([dict((k, q) for k, q, _ in labels).get(d[0], -1) for d in docs])
@@ -389,12 +409,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     left = [(k, t) for k, t in left if comp[k][1] == k]
     bad = {k for k, _ in leaking(left, [(0, item)])}
     left = [(k, t) for k, t in left if k not in bad]
-    t = encoding.load(bpe.tokenizer_file("byte_bpe_50k.json"))
     assert {k: r.ids for k, r in got.items()} == {k: t.encode(x or "", add_special_tokens=False).ids for k, x in left}
     assert all(r.exact and r.n_tokens == len(r.ids) for r in got.values())
     assert bad and any(gone.values()) and len(left) < len(docs) - 30
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry():
     assert sorted(k.split("_")[0] for k in registry.QUERIES) == sorted(f"op{n}" for n in range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5 and set(registry.SQL) <= set(registry.QUERIES)
