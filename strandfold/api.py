@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from strandfold.operators import bundles, consensus, coverage, extract, pairs
 from strandfold.operators.shared import stored
 from strandfold.sources import bam, fasta, fastq, files, storage, tsv
 
+log = logging.getLogger("strandfold")
+
 
 def dedup_files(
     spark: SparkSession, path: str, outdir: str, method: str = "directional", separator: str = "_", percentage: float = 0.5, max_edit: int = 1, min_depth: int = 3, rev: bool = False, by_length: bool = False,
@@ -19,7 +24,7 @@ def dedup_files(
 
     For a file x.bam there will be x_<method>.bam (a folder of files in coordinate order, each
     with its index, or with one_file one file, which one task writes) and the file
-    x_dedup_report.tsv; with merge_fasta its pairs are merged and x_merge_report.tsv tells how.
+    x_dedup_report.tsv, which is logged, too; with merge_fasta its pairs are merged and x_merge_report.tsv tells how.
     Paths may be URIs of any file system that Arrow knows.
     """
     check_window(split_window)
@@ -28,6 +33,8 @@ def dedup_files(
     options = dict(method=method, max_edit=max_edit, percentage=percentage, min_depth=min_depth, singletons=singletons, rev=rev, only_group=only_group)
     done: dict[str, str | None] = {}
     for file, kind in files.gather(path):
+        began = time.time()
+        log.info("%s: dedup, %s", file, options)
         try:
             target = files.output_name(file, method, outdir)
             if kind == "bam":
@@ -37,9 +44,12 @@ def dedup_files(
                 out, report = consensus.dedup(reads, **options, one_bundle=True)
                 fastq.write_fastq(out.withColumn("qual", F.decode("qual", "ISO-8859-1")), target, gzipped=file.endswith(".gz"), files=1 if one_file else None)
                 _as_one_file(target, one_file)
-            tsv.write_tsv(report, files.report_name(file, "dedup", outdir))
+            name = files.report_name(file, "dedup", outdir)
+            tsv.write_tsv(report, name)
+            log.info("%s: done in %.0f s\n%s", file, time.time() - began, tsv.as_text(tsv.read_tsv(spark, name, ", ".join(f"{c} {t}" for c, t in report.dtypes))))
             done[file] = None
         except Exception as e:  # the other files still have their turn
+            log.exception("%s failed", file)
             done[file] = str(e)
     return done
 

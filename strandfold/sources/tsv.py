@@ -23,3 +23,11 @@ def write_tsv(report: DataFrame, path: str) -> None:
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
+
+
+def as_text(report: DataFrame) -> str:
+    """A report of one row for the console: a line a column, numbers in groups of three digits."""
+    row = report.first()
+    wide = max(map(len, report.columns))
+    shown = lambda v: "" if v is None else f"{v:,}" if isinstance(v, int) else str(v)
+    return "\n".join(f"{c.replace('_', ' '):<{wide}}  {shown(row[c])}" for c in report.columns)

@@ -5,11 +5,13 @@ import random
 
 import pytest
 
+from strandfold import __main__ as command
 from strandfold import api
 from strandfold.sources import bam
 
 
-def test_fastq_from_extraction_to_dedup(spark, tmp_path):
+def test_fastq_from_extraction_to_dedup(spark, tmp_path, caplog):
+    caplog.set_level("INFO", "strandfold")
     rng = random.Random(1)
     umis = ["ACGTA", "TTTTT", "GGCCA"]
     with gzip.open(tmp_path / "x.fastq.gz", "wt") as f:
@@ -31,6 +33,7 @@ def test_fastq_from_extraction_to_dedup(spark, tmp_path):
     head, row = open(report).read().strip().split("\n")
     got = dict(zip(head.split("\t"), row.split("\t")))
     assert (got["num_reads_input_file"], got["num_passing_groups"], got["num_total_barcodes"]) == ("60", "3", "3")
+    assert any("num reads input file" in r.getMessage() for r in caplog.records) and any(r.levelname == "ERROR" and "bad.bam" in r.getMessage() for r in caplog.records)
     with pytest.raises(ValueError):
         api.extract_files(spark, "a", "b", "N", r2="c")
 
@@ -75,3 +78,14 @@ def test_one_file_windows_and_coverage(spark, tmp_path):
     assert api.coverage_files(spark, f"{uri}/in.bam", f"{uri}/cov") == {f"{uri}/in.bam": None}
     head, row = (tmp_path / "cov" / "in_coverage.tsv").read_text().strip().split("\n")
     assert dict(zip(head.split("\t"), row.split("\t")))["covbases"] == "16"
+
+
+def test_command_line():
+    p = command.parser()
+    got = vars(p.parse_args("dedup -i x.bam -o out -g acyclic --split-window 50 -u --merge-pairs r.fa".split()))
+    names = api.dedup_files.__code__.co_varnames[: api.dedup_files.__code__.co_argcount]
+    assert set(got) - {"run", "input", "max_edit"} <= {*names, "outdir"} and got["method"] == "acyclic" and got["rev"] and got["split_window"] == 50 and got["merge_fasta"] == "r.fa"
+    got = vars(p.parse_args("extract -i a.fq -o b.fq -p NNNX --mask-qual 10".split()))
+    assert got["pattern1"] == "NNNX" and got["mask_qual"] == 10 and got["encoding"] == "phred33"
+    with pytest.raises(SystemExit):
+        p.parse_args(["dedup"])
