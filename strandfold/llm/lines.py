@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Column
 
+from strandfold.llm import shared
 from strandfold.llm.shared import small, stored, table
 
 EDITS = 2
@@ -120,27 +121,45 @@ def surviving(a: Column, b: Column, edits: int, pieces: int = 8) -> Column:
     return total
 
 
-def _segment(n: Column, i: int, pieces: int) -> tuple[Column, Column]:
+def _segment(n: Column, i: int | Column, pieces: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of a string of n characters; the last n % pieces are one longer."""
     base, extra = F.floor(n / pieces).cast("int"), n % pieces
     late = F.greatest(F.lit(i) - (pieces - extra), F.lit(0))
     return base * i + late, base + F.when(F.lit(i) >= pieces - extra, 1).otherwise(0)
 
 
-def _keys(text: Column, n: Column, under: list[Column], edits: int, role: str, rest: bool, delta: int | None = None) -> Column:
-    """The index keys of a line, or its probes for lines delta shorter (None: for each delta); with what is left of it, if rest."""
+def _shifts(i: int, d: int, edits: int) -> range:
+    """Where segment i of a line d characters shorter may begin, from its place."""
+    return range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)
+
+
+def _keyed(long: DataFrame, edits: int, role: str) -> DataFrame:
+    """(h1, key) of the lines (h1, text, n): the index keys, or the probes that aren't among these.
+
+    A row for each cut comes first and one expression makes its key: all keys in one expression
+    are more bytecode than the JVM compiles (8,000 bytes a method), and would be interpreted.
+    """
+    every = [(i, d, s) for d in range(edits + 1) for i in range(edits + 1) for s in _shifts(i, d, edits)]
+    own = [(i, 0, 0) for i in range(edits + 1)]
+    cuts = own if role == "index" else [c for c in every if c not in own]
+    struct = [F.struct(*[F.lit(x).alias(name) for name, x in zip("ids", c)]) for c in cuts]
+    rows = long.select("h1", "text", "n", F.explode(F.array(*struct)).alias("cut"))
+    length = (F.col("n") - F.col("cut.d")).cast("int")
+    start, size = _segment(length, F.col("cut.i"), edits + 1)
+    return rows.select("h1", F.xxhash64("cut.i", length, F.substring(F.col("text"), start + F.col("cut.s") + 1, size)).alias("key"))
+
+
+def _keys(text: Column, n: Column, under: list[Column], edits: int, role: str, delta: int | None = None) -> Column:
+    """(key, rest, delta): the index keys of a line, or its probes for lines delta shorter (None: for each delta), with what is left of it."""
     out = []
     for d in [0] if role == "index" else range(edits + 1) if delta is None else [delta]:
         length = (n - d).cast("int")
         for i in range(edits + 1):
             start, size = _segment(length, i, edits + 1)
-            shifts = [0] if role == "index" else range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)
+            shifts = [0] if role == "index" else _shifts(i, d, edits)
             for s in shifts:
                 at = start + s
                 key = F.xxhash64(*under, F.lit(i), length, F.substring(text, at + 1, size))
-                if not rest:
-                    out.append(key)
-                    continue
                 left = F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + size + 1, n))
                 out.append(F.struct(key.alias("key"), left.alias("rest"), F.lit(d).alias("delta")))
     return F.array(*out)
@@ -165,14 +184,14 @@ def _hash_where_small(spark: SparkSession) -> None:
 def _hot_pairs(long: DataFrame, hot: DataFrame, edits: int, hot_rows: int, depth: int) -> DataFrame:
     """Pairs under hot keys: cut the matched segment out and match the rest, level by level."""
     n = F.char_length("text")
-    rows = lambda role: long.select("h1", F.explode(_keys(F.col("text"), n, [], edits, role, True)).alias("k")).select("h1", "k.key", "k.rest", "k.delta")
+    rows = lambda role: long.select("h1", F.explode(_keys(F.col("text"), n, [], edits, role)).alias("k")).select("h1", "k.key", "k.rest", "k.delta")
     index, probe = (rows(r).join(small(hot), "key", "left_semi") for r in ("index", "probe"))
     out = None
     for level in range(depth):
         n = F.char_length("rest")
         short = n - F.col("delta") < 2 * (edits + 1)  # little is left to cut; the length is that of the indexed line on both sides
         done = _pairs(index.where(short), probe.where(short))
-        again = lambda df, role, d=None: df.select("h1", F.explode(_keys(F.col("rest"), n, [F.col("key")], edits, role, True, d)).alias("k")).select("h1", "k.key", "k.rest", "k.delta")  # noqa: E731, B023
+        again = lambda df, role, d=None: df.select("h1", F.explode(_keys(F.col("rest"), n, [F.col("key")], edits, role, d)).alias("k")).select("h1", "k.key", "k.rest", "k.delta")  # noqa: E731, B023
         index = stored(again(index.where(~short), "index").distinct(), "hot-index")
         parts = [again(probe.where(~short & (F.col("delta") == d)), "probe", d) for d in range(edits + 1)]
         probe = parts[0]
@@ -199,6 +218,32 @@ def _ids(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
+#: Words of the bits that say which lines are needed: up to 8 MB.
+MOST_WORDS = 1 << 20
+
+
+def _near_places(every: DataFrame, needed: DataFrame) -> DataFrame:
+    """The lines (id, no, line) without most of those that needed (p_id, p_no) doesn't name.
+
+    Where needed is too large to be broadcast, 16 or more bits a row of it are, in a row of
+    their own: only lines whose bit is set, some one in 16 besides those needed, go to the join.
+    """
+    n = needed.count()
+    if n <= shared.BROADCAST_ROWS:
+        return every
+    words = 1
+    while words < min(n / 4, MOST_WORDS):
+        words *= 2
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(words - 1)).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    place = F.xxhash64("p_id", "p_no")
+    found = needed.groupBy(word(place).alias("word")).agg(F.bit_or(bit(place)).alias("bits"))
+    found = needed.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(found, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    table_ = stored(found.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("__bits")), "line-places")
+    own = F.xxhash64("id", "no")
+    return every.join(F.broadcast(table_), F.get("__bits", word(own)).bitwiseAND(bit(own)) != 0).drop("__bits")
+
+
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, hot_rows: int = HOT, depth: int = DEPTH) -> DataFrame:
     """(id, removed array<int>) for the documents of (id, text) that lose lines: the line numbers, from 0."""
     _hash_where_small(docs.sparkSession)
@@ -210,9 +255,8 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     long = filled.select("id", "no", "line", *_ids()).where(F.char_length("line") >= min_chars)
     long = long.join(copied, ["h1", "h2"], "left").where("first is null or (first.id <=> id and first.no = no)").select("id", "no", "h1", "h2", F.col("line").alias("text"))
     long = long.withColumn("n", F.char_length("text"))
-    n = F.col("n")
-    index = stored(long.select("h1", F.explode(_keys(F.col("text"), n, [], edits, "index", False)).alias("key")), "line-index")
-    probe = long.select("h1", F.explode(_keys(F.col("text"), n, [], edits, "probe", False)).alias("key"))
+    index = stored(_keyed(long, edits, "index"), "line-index")
+    probe = _keyed(long, edits, "probe").union(index)  # a line's own keys are probes, too
     hot = stored(index.groupBy("key").agg(F.countDistinct("h1").alias("k")).where(F.col("k") > hot_rows).select("key"), "hot-keys")
     if hot.isEmpty():
         pairs = _pairs(index, probe)
@@ -224,7 +268,7 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     needed = pairs.select(F.col("a").alias("p"), F.col("a1").alias("h1")).union(pairs.select("b", "b1")).distinct().select(F.col("p.id").alias("p_id"), F.col("p.no").alias("p_no"), "h1")
     # null keys are one place too; the hash tells the lines of documents with one key apart
     there = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("no") == F.col("p_no")) & (F.xxhash64("line") == F.col("h1"))
-    texts = stored(_lines(docs).join(small(needed), there).select(F.struct("id", "no").alias("p"), "h1", "line"), "line-texts")
+    texts = stored(_near_places(_lines(docs), needed).join(small(needed), there).select(F.struct("id", "no").alias("p"), "h1", "line"), "line-texts")
     text = lambda s: texts.select(F.col("p").alias(s), F.col("h1").alias(f"{s}1"), F.col("line").alias(f"t{s}"))
     pieces = 8
     late = [F.when(F.col("a") < F.col("b"), F.col(f"b{i}")).otherwise(F.col(f"a{i}")).alias(f"h{i}") for i in (1, 2)]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandfold.llm import lines
+from strandfold.llm import lines, shared
 
 
 def distance(a, b):
@@ -106,3 +106,23 @@ def test_near_lines_of_documents_without_a_key(spark):
     assert got == {(None, 1): [], (1, 1): [0], (2, 2): [1], (3, 1): [], (4, 1): []}
     got = {r.doc_id: list(r.removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id > 0").collect()}
     assert got == {1: [0], 2: [1], 3: [], 4: [0]}
+
+
+@pytest.mark.parametrize("role", ["index", "probe"])
+def test_keys_are_compiled(spark, role):
+    long = spark.createDataFrame([(1, "x" * 30, 30)], "h1 long, text string, n int")
+    stages = lines._keyed(long, 2, role)._jdf.queryExecution().debug().codegenToSeq()
+    assert stages.size() and all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+
+
+def test_lines_too_many_to_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    docs = corpus(4, 60) + [(None, "a line without a key, long enough")]
+    want = expected(docs[:-1])
+    got = {r.doc_id: list(r.removed) for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want | {None: []}
+    every = lines._lines(spark.range(4000).select("id", F.lit("some\nlines").alias("text")))
+    needed = every.where("id % 20 = 0").select(F.col("id").alias("p_id"), F.col("no").alias("p_no"))
+    near = lines._near_places(every, needed)
+    assert near.join(needed, (F.col("id") == F.col("p_id")) & (F.col("no") == F.col("p_no"))).count() == 400
+    assert near.count() < 1200  # of 8000
