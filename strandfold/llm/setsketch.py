@@ -10,8 +10,9 @@ the threshold are compared on their full sets.
 Texts with one and the same set form a class with one representative, so thousands of copies
 are one row here. Of a band with n representatives only n - 1 pairs (each with the smallest
 id) are looked at first; what these leave in different components is then compared block
-by block, pairs inside one component being decided already. A band with more than HOT_BAND
-representatives, as of very many texts with one long passage in common, is first parted by the bands
+by block, pairs inside one component being decided already: those outside the largest component
+meet all others. A band with more than HOT_BAND
+representatives outside its largest component, as of very many texts with one long passage in common, is first parted by the bands
 that its texts share besides, DEEPER levels deep: similar texts share more than three bands of
 the 25 but for about one pair in 30,000 at a similarity of 0.85 (one in 600 at 0.8),
 and the others fall apart. So no group is turned into all its pairs.
@@ -36,7 +37,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 SLACK = 0.15
 BLOCK = 512
 HOT_BAND, DEEPER = 2048, 2
-#: Shingles of the texts that are verified against one text in one group.
+#: Shingles of the texts that are verified against each other in one group.
 GROUP_SHINGLES = 200_000
 SLICE = 1 << 18
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -82,6 +83,25 @@ def estimate(up: np.ndarray, down: np.ndarray, na: np.ndarray, nb: np.ndarray) -
     return j[np.arange(len(j)), like.argmax(axis=1)]
 
 
+def reaches(up: np.ndarray, down: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether estimate() is at least least. The likelihood has one peak, so two points of its grid tell."""
+    na, nb = np.asarray(na, float), np.asarray(nb, float)
+    u, v = na / (na + nb), nb / (na + nb)
+    ratio = np.minimum(u / v, v / u)
+    at = np.ceil(least / ratio * 200)
+    at -= (at - 1) / 200 * ratio >= least
+    p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
+    log = lambda x: np.log(np.maximum(x, 1e-12))
+    up, down = np.asarray(up), np.asarray(down)
+
+    def like(g: np.ndarray) -> np.ndarray:
+        j = np.clip(g, 0, 200) / 200 * ratio
+        more, less = p(u - v * j), p(v - u * j)
+        return up * log(more) + down * log(less) + (REGISTERS - up - down) * log(1 - more - less)
+
+    return (at <= 0) | ((at <= 200) & (like(at) > like(at - 1)))
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, h1, h2, regs) of (id, text): set size, 128 bits of the set, its registers."""
 
@@ -114,39 +134,63 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             if not b.num_rows:
                 continue
             x, y = _regs(b.column(4)), _regs(b.column(5))
-            j = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), b.column(2).to_numpy(), b.column(3).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(j >= least))
+            some = reaches((x > y).sum(axis=1), (x < y).sum(axis=1), b.column(2).to_numpy(), b.column(3).to_numpy(), least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(some))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of (id, text) rows, whose sets have the sizes (id, n), with 100 * intersection >= percent * union, on full shingle sets.
+def places(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, place): texts of one place have a smallest partner in common, and half of GROUP_SHINGLES shingles or so."""
+    homes = sizes.join(members.groupBy("id").agg(F.min("pivot").alias("home")), "id")
+    load = homes.groupBy("home").agg(F.ceil(2 * F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks"))
+    return homes.join(load, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("place"))
 
-    The texts of the b of one a come together in groups of about GROUP_SHINGLES shingles, each with a's text.
-    """
-    pairs = stored(pairs.join(sizes.withColumnRenamed("id", "b"), "b").select("a", "b", "n"), "pairs")
-    load = pairs.groupBy("a").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("groups"))
-    pairs = pairs.join(load, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
-    members = pairs.select("a", "g", "b").join(texts.withColumnRenamed("id", "b"), "b").select("a", "g", "b", "text")
-    heads = load.join(texts.withColumnRenamed("id", "a"), "a").select(F.col("a"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.concat("text").alias("head"))
 
-    heads = heads.select(*[F.col(c).alias(c) for c in heads.columns])  # names of its own: both sides come from pairs
+def verify(pairs: DataFrame, texts: DataFrame, at: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of (id, text) rows, which are at (id, place), with 100 * intersection >= percent * union, on full shingle sets.
+
+    All pairs of two places come together, each text once: a text goes to as many groups as there are
+    places that it has partners in, not to one for each of its partners.
+    """
+    side = lambda s, p: at.select(F.col("id").alias(s), F.col("place").alias(p))
+    pairs = stored(pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").select("p", "q", "a", "b"), "pairs")
+    ends = pairs.select("p", "q", F.col("a").alias("id")).union(pairs.select("p", "q", "b")).distinct()
+    members = ends.join(texts, "id").select(F.col("p").alias("p"), F.col("q").alias("q"), "id", "text")
 
-    def run(head: pa.Table, some: pa.Table) -> pa.Table:
+    def run(some: pa.Table, of: pa.Table) -> pa.Table:
         a, b = [], []
-        if head.num_rows and some.num_rows:
-            of = list(shingle_sets(head.column(2), size))
-            for k, x in zip(some.column(2).to_pylist(), shingle_sets(some.column(3), size)):
-                for y in of:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        a.append(head.column(0)[0].as_py())
-                        b.append(k)
-                        break
+        rows: dict[int, list[int]] = {}
+        sets = []
+        for k, x in zip(of.column(2).to_pylist(), shingle_sets(of.column(3), size) if of.num_rows else []):
+            if len(x):
+                rows.setdefault(k, []).append(len(sets))
+                sets.append(x)
+        partners: dict[int, list[int]] = {}
+        for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist()):
+            if x in rows and y in rows:
+                partners.setdefault(x, []).append(y)
+        if partners:
+            n = np.array([len(x) for x in sets])
+            every, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            codes = np.split(codes, np.cumsum(n)[:-1])
+            mark = np.zeros(len(every), np.int32)
+        for x, ys in partners.items():
+            theirs = [r for y in ys for r in rows[y]]
+            whose = np.array([y for y in ys for _ in rows[y]])
+            flat, first = np.concatenate([codes[r] for r in theirs]), np.cumsum([0, *n[theirs][:-1]])
+            near = np.zeros(len(theirs), bool)
+            for r in rows[x]:
+                mark[codes[r]] = 1
+                both = np.add.reduceat(mark[flat], first)
+                mark[codes[r]] = 0
+                near |= 100 * both >= percent * (n[r] + n[theirs] - both)
+            linked = np.unique(whose[near]).tolist()
+            a += [x] * len(linked)
+            b += linked
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return heads.groupBy("a", "g").cogroup(members.groupBy("a", "g")).applyInArrow(run, "a long, b long")
+    return pairs.groupBy("p", "q").cogroup(members.groupBy("p", "q")).applyInArrow(run, "a long, b long")
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -158,43 +202,48 @@ def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, least: fl
     m = members.join(labels, "id", "left").select("band", F.xxhash64("value").alias("value"), "id", "pivot", F.coalesce("c", "id").alias("c"))
     out = None
     for depth in range(DEEPER + 1):
-        mixed = m.groupBy("band", "value").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1 and c0 <> c1").select("band", "value", "k")
+        sizes = m.groupBy("band", "value", "c").agg(F.count("*").alias("kc"))
+        mixed = sizes.groupBy("band", "value").agg(F.sum("kc").alias("k"), F.max(F.struct("kc", "c")).alias("main")).where("k > main.kc")
+        mixed = mixed.select("band", "value", "k", (F.col("k") - F.col("main.kc")).alias("others"), F.col("main.c").alias("main"))
         mixed = stored(mixed, "mixed-bands")
         last = depth == DEEPER
-        some = _in_blocks(m.join(mixed if last else mixed.where(F.col("k") <= HOT_BAND), ["band", "value"]), reps, least)
+        some = _in_blocks(m.join(mixed if last else mixed.where(F.col("others") <= HOT_BAND), ["band", "value"]), reps, least)
         out = some if out is None else out.union(some)
-        hot = mixed.where(F.col("k") > HOT_BAND)
+        hot = mixed.where(F.col("others") > HOT_BAND)
         if last or hot.isEmpty():
             break
         others = members.select("id", F.col("band").alias("next"), F.col("value").alias("also"))
-        m = m.join(hot.drop("k"), ["band", "value"]).join(others, "id").where("next > band")
+        m = m.join(hot.select("band", "value"), ["band", "value"]).join(others, "id").where("next > band")
         m = stored(m.select(F.col("next").alias("band"), F.xxhash64("value", "also").alias("value"), "id", "pivot", "c"), "deeper-bands")
     return out.distinct()
 
 
 def _in_blocks(m: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components in each (band, value) of m, whose members are k.
+    """Likely pairs of different components in each (band, value) of m, whose members are k, of which others aren't of the component main.
 
-    Bands are cut into blocks of about BLOCK members; each two blocks meet in one task,
-    which compares sketches and gives out only likely pairs.
+    The others are cut into blocks of about BLOCK members, and so are all; each two blocks meet in
+    one task, which compares sketches and gives out only likely pairs.
     """
-    m = m.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).join(reps.select("id", "n", "regs"), "id")
-    m = m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    m = m.withColumn("other", other).select("band", "value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "pivot", "c", "n", "regs")
+    m = m.withColumns({"tall": F.ceil(F.col("others") / BLOCK).cast("int"), "wide": F.ceil(F.col("k") / BLOCK).cast("int")}).join(reps.select("id", "n", "regs"), "id")
+    m = m.withColumns({"left": F.when(F.col("c") == F.col("main"), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("tall"))).cast("int"), "right": F.pmod(F.xxhash64("id"), F.col("wide")).cast("int")})
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    row = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda y: at(F.col("left"), y))
+    column = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda x: at(x, F.col("right")))
+    m = m.withColumn("at", F.explode(F.when(F.col("left") < 0, column).otherwise(F.array_distinct(F.concat(row, column)))))
+    m = m.select("band", "value", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "left", "right", "id", "pivot", "c", "n", "regs")
 
     def run(t: pa.Table) -> pa.Table:
-        block, ids, pivot, c, n = (t.column(i).to_numpy() for i in (4, 5, 6, 7, 8))
+        tall, wide, ids, pivot, c, n = (t.column(i).to_numpy() for i in (4, 5, 6, 7, 8, 9))
         x, y = t.column(2)[0].as_py(), t.column(3)[0].as_py()
-        regs = _regs(t.column(9))
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        regs = _regs(t.column(10))
+        left, right = np.flatnonzero(tall == x), np.flatnonzero(wide == y)
         a, b = [], []
         for i in left:
-            j = right[(c[right] != c[i]) & ((ids[right] > ids[i]) if x == y else True) & (ids[right] != pivot[i]) & (ids[i] != pivot[right])]
+            j = right[(c[right] != c[i]) & ((tall[right] < 0) | (ids[right] > ids[i])) & (ids[right] != pivot[i]) & (ids[i] != pivot[right])]
             if len(j):
                 j = j[(regs[j] == regs[i]).sum(axis=1) >= (least - 0.1) * REGISTERS]
             if len(j):
-                j = j[estimate((regs[i] > regs[j]).sum(axis=1), (regs[i] < regs[j]).sum(axis=1), np.full(len(j), n[i]), n[j]) >= least]
+                j = j[reaches((regs[i] > regs[j]).sum(axis=1), (regs[i] < regs[j]).sum(axis=1), np.full(len(j), n[i]), n[j], least)]
                 a += np.minimum(ids[i], ids[j]).tolist()
                 b += np.maximum(ids[i], ids[j]).tolist()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -222,8 +271,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     members = stored(bands.join(shared, ["band", "value"]).distinct(), "members")
     texts = stored(docs.join(small(members.select("id").distinct()), "id"), "texts")
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verify(likely(star, reps, least), texts, sizes, size, percent), "links")
-    more = stored(verify(rest_pairs(members, components(links), reps, least), texts, sizes, size, percent), "links")
+    at = stored(places(members, sizes), "places")
+    links = stored(verify(likely(star, reps, least), texts, at, size, percent), "links")
+    more = stored(verify(rest_pairs(members, components(links), reps, least), texts, at, size, percent), "links")
     labels = components(links.union(more))
     labels = classes.select("h1", "h2", "n", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = own.select("id", "n", "h1", "h2").join(labels, ["h1", "h2", "n"], "left")

@@ -86,6 +86,34 @@ def test_hot_bands_are_parted(spark, monkeypatch):
     assert got == want and sum(c != k for k, (_, c) in want.items()) == 15
 
 
+def test_a_text_is_sent_once_to_the_group_of_its_partners(spark, monkeypatch):
+    """A hundred texts of which each is compared with each: one group has them all, not one for each of them."""
+    sent = []
+    stored = setsketch.stored
+    monkeypatch.setattr(setsketch, "stored", lambda df, name: sent.append((name, stored(df, name))) or sent[-1][1])
+    rng = random.Random(15)
+    core, some = words(rng, 300, 50_000), []
+    for k in range(100):
+        w = [x if rng.random() > 0.025 + 0.0001 * k else f"o{rng.randrange(10**6)}" for x in core]
+        some.append((k, " ".join(w), "", "", 0))
+    want = groups([(r[0], r[1]) for r in some], 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(frame(spark, some), 3, 85).collect()}
+    assert got == want
+    pairs = [df for name, df in sent if name == "pairs"][1]
+    ends = pairs.select("p", "q", "a").union(pairs.select("p", "q", "b")).distinct()
+    assert pairs.count() > 500 and 3 * ends.count() < pairs.count()
+
+
+def test_likelihood_at_two_points():
+    rng = np.random.default_rng(5)
+    up, down = rng.integers(0, 50, 3000), rng.integers(0, 50, 3000)
+    na, nb = rng.integers(1, 500, 3000), rng.integers(1, 500, 3000)
+    for least in (0.65, 0.7):
+        assert (setsketch.reaches(up, down, na, nb, least) == (setsketch.estimate(up, down, na, nb) >= least)).all()
+    near = rng.integers(0, 20, 3000), rng.integers(0, 20, 3000), rng.integers(90, 110, 3000), rng.integers(90, 110, 3000)
+    assert (setsketch.reaches(*near, 0.7) == (setsketch.estimate(*near) >= 0.7)).all() and 300 < setsketch.reaches(*near, 0.7).sum() < 2900
+
+
 def test_estimates_and_merging():
     rng = np.random.default_rng(3)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
