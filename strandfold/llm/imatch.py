@@ -11,13 +11,15 @@ in; so texts of different terms in the band are never told to be the same.
 
 Document frequencies count every document. The terms above the band are at most
 1 / MOST_SHARE times the mean number of distinct terms a text, however many texts there are,
-and are broadcast. Those below it are in one document, and go to it with the shuffle that
-brings each text to the next one. Words that only the seam of an edited text makes are looked up by a join.
+and go to every task as one table. Those below it are in one document, and go to it with the shuffle that
+brings each text to the next one. Of an edited text, words that touch its seam or its end may be cut ones; those
+that its own text lacks are looked up by a join, and every other one is a whole word of one of the two texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,15 +29,19 @@ from strandfold.llm.shared import stored, table
 SUBSETS, SPARSE = 32, 16
 DRAWS = (SPARSE.bit_length() - 1) // 2
 LEAST_TERMS = 16
+#: Subsets looked for at once.
+FEW = 4
 #: The band: at least MIN_DOCS documents, at most this share of all.
 MIN_DOCS, MOST_SHARE = 2, 0.01
 #: Documents of one range of ids; with more ranges than MOST_RANGES they become longer instead (a range's sort can spill).
 RANGE_ROWS, MOST_RANGES = 4000, 50_000
 #: Ids looked at to set the ends of a range.
 SAMPLED = 20
-#: Cells of the hash table of the terms above the band.
-CELLS = 4096
-_SPLIT = r"[\s\p{Punct}]+"
+#: Cells of the hash table of the terms above the band, a power of two.
+CELLS = 1 << 16
+#: [\s\p{Punct}]+ with each character by itself, which Java looks up in one table.
+_SPLIT = "[" + "".join(f"\\x{c:02x}" for c in (*range(9, 14), *range(32, 127)) if not chr(c).isalnum()) + "]+"
+_LOW = 0xFFFFFFFF
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -44,8 +50,18 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def terms(text: Column) -> Column:
     """Distinct 64-bit hashes of a text's terms: lower-cased runs without white space and ASCII punctuation."""
-    words = F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.split(F.lower(text), _SPLIT)
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def at_edges(kept: Column, added: Column) -> Column:
+    """The terms of the runs without white space around the seam of kept and added, and at the end of both.
+
+    No other term of both together can differ from one of the whole texts: lower case too depends on
+    the letters around (a sigma) within such a run only.
+    """
+    tail = lambda t: F.regexp_replace(t, r"(?s)^.*\s", "")
+    return terms(F.concat(tail(kept), F.regexp_extract(added, r"^\S*", 0), F.lit(" "), tail(F.concat(kept, added))))
 
 
 def level(n: Column) -> Column:
@@ -57,30 +73,27 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _members(term: Column, draws: Column) -> Column:
-    """64 bits, each set with a chance of one half a draw."""
-    return F.aggregate(draws, F.lit(-1).cast("long"), lambda m, i: m.bitwiseAND(F.xxhash64(term, i)))
+def _members(terms_: Column, at: Column) -> Column:
+    """64 bits a term, each set with a chance of one half a draw. Each draw leaves a term a quarter of the subsets: DRAWS of them make SPARSE, and each level takes one more."""
+    first = lambda t: reduce(Column.bitwiseAND, [F.xxhash64(t, F.lit(i)) for i in range(1, DRAWS + 1)])
+    more = lambda t: F.aggregate(F.sequence(F.lit(DRAWS + 1), at + DRAWS), first(t), lambda m, i: m.bitwiseAND(F.xxhash64(t, i)))
+    return F.when(at == 0, F.transform(terms_, first)).otherwise(F.transform(terms_, more))
 
 
-def _low(bits: Column) -> Column:
-    """The subsets that both halves agree on: one in SPARSE at level 0."""
-    return bits.bitwiseAND(F.shiftrightunsigned(bits, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def _draws(at: Column) -> Column:
-    """Each draw leaves a term a quarter of the subsets: DRAWS of them make SPARSE, and each level takes one more."""
-    return F.sequence(F.lit(1), at + DRAWS)
+def _both(bits: Column) -> Column:
+    """The subsets that both halves agree on, in the upper half: one in SPARSE at level 0."""
+    return bits.bitwiseAND(F.shiftleft(bits, 32))
 
 
 def sketch(in_band: Column) -> Column:
-    """struct(n, whole, terms): the number of a text's terms in the band, a hash of all of them, and those in some subset.
+    """struct(n, whole, terms): the number of a text's terms in the band, a hash of all of them, and those in some subset (at level 0: all).
 
     More terms can be added later: the level can only rise, and its subsets lie in those of the lower one.
     """
 
     def one(t: Column) -> Column:
-        kept = _let(_draws(level(F.size(t))), lambda d: F.filter(t, lambda x: _low(_members(x, d)) != 0))
-        return F.struct(F.size(t).alias("n"), whole_hash(t).alias("whole"), kept.alias("terms"))
+        some = _let(level(F.size(t)), lambda at: F.when(at == 0, t).otherwise(_let(_members(t, at), lambda m: F.filter(t, lambda _, i: _both(F.get(m, i)) != 0))))
+        return F.struct(F.size(t).alias("n"), whole_hash(t).alias("whole"), some.alias("terms"))
 
     return _let(in_band, one)
 
@@ -89,38 +102,60 @@ def whole_hash(in_band: Column) -> Column:
     return F.aggregate(in_band, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(F.xxhash64(t, F.lit(102))))
 
 
-def subset_hashes(kept: Column, bits: str) -> Column:
-    """One 32-bit hash per subset of the sorted terms in it; null where it has none."""
+def _place(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(_LOW)).cast("int")
+
+
+def subset_hashes(sorted_terms: Column, codes: Column) -> Column:
+    """One 32-bit hash per subset of the sorted terms in it; null where it has none.
 
-    def one(k: Column) -> Column:
-        mine = F.transform(F.filter(kept, lambda z: F.getbit(z[bits], k) == 1), lambda z: z["t"])
-        return _let(mine, lambda m: F.when(F.size(m) > 0, F.xxhash64(m).bitwiseAND(F.lit(0xFFFFFFFF))))
+    A code has a term's subsets in its upper half and the term's place in the lower one. Codes are looked through for
+    each few subsets and, if they have any of those, for each of them.
+    """
+    bits = [1 << k if k < 63 else -(1 << 63) for k in range(64 - SUBSETS, 64)]
+
+    def one(some: Column, bit: Column) -> Column:
+        mine = F.transform(F.filter(some, lambda c: c.bitwiseAND(bit) != 0), lambda c: F.get(sorted_terms, _place(c)))
+        return _let(mine, lambda m: F.when(F.size(m) > 0, F.xxhash64(m).bitwiseAND(F.lit(_LOW))))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    def few(some: Column) -> Column:
+        mine = F.filter(codes, lambda c: c.bitwiseAND(some["any"]) != 0)
+        return _let(mine, lambda m: F.transform(some["bits"], lambda bit: one(m, bit)))
 
+    sets = [bits[i : i + FEW] for i in range(0, SUBSETS, FEW)]
+    return F.flatten(F.transform(F.array(*[F.struct(F.lit(sum(x)).alias("any"), F.array(*map(F.lit, x)).alias("bits")) for x in sets]), few))
 
-def fingerprint(sketched: Column, more: Column, all_terms: Column) -> Column:
+
+def fingerprint(n: Column, whole: Column, some: Column, all_terms: Column) -> Column:
     """struct(level, a, b, c): the subset hashes of a text at its level and at the next sparser one, and the hash of the whole.
 
-    more are terms in the band that the sketch lacks. A text without terms in the band has
-    level -1 and the hash of all its terms, so that it is like texts with the very same terms only.
+    some are those of the text's n terms in the band that are in some subset, and any others of them. A text without terms
+    in the band has level -1 and the hash of all its terms, so that it is like texts with the very same terms only.
     """
 
     def own(at: Column) -> Column:
-        def masks(t: Column, d: Column) -> Column:
-            m = _members(t, d)
-            return _let(m, lambda x: F.struct(t.alias("t"), _low(x).alias("own"), _low(x.bitwiseAND(F.xxhash64(t, at + (DRAWS + 1)))).alias("sparser")))
+        def made(ts: Column, codes: Column) -> Column:
+            draws = F.transform(codes, lambda c: F.xxhash64(F.get(ts, _place(c)), at + (DRAWS + 1)))
+            sparser = F.zip_with(codes, draws, lambda c, m: c.bitwiseAND(_both(m).bitwiseOR(F.lit(_LOW))))
+            b = _let(_drawn(sparser), lambda k: subset_hashes(ts, k))
+            c = F.array(F.xxhash64(whole).bitwiseAND(F.lit(_LOW)))
+            return F.struct(at.alias("level"), subset_hashes(ts, codes).alias("a"), b.alias("b"), c.alias("c"))
+
+        def coded(ts: Column) -> Column:
+            codes = F.transform(_members(ts, at), lambda m, i: _both(m).bitwiseOR(i.cast("long")))
+            return _let(_drawn(codes), lambda k: made(ts, k))
 
-        terms_of = F.array_sort(F.concat(sketched["terms"], more))
-        drawn = _let(_draws(at), lambda d: F.filter(F.transform(terms_of, lambda t: masks(t, d)), lambda z: z["own"] != 0))
-        c = F.xxhash64(sketched["whole"].bitwiseXOR(whole_hash(more))).bitwiseAND(F.lit(0xFFFFFFFF))
-        return _let(drawn, lambda k: F.struct(at.alias("level"), subset_hashes(k, "own").alias("a"), subset_hashes(F.filter(k, lambda z: z["sparser"] != 0), "sparser").alias("b"), F.array(c).alias("c")))
+        return _let(F.sort_array(some), coded)
 
-    n = sketched["n"] + F.size(more)
-    alone = F.struct(F.lit(-1).alias("level"), F.array(all_terms.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), _none("bigint").alias("b"), _none("bigint").alias("c"))
+    alone = F.struct(F.lit(-1).alias("level"), F.array(all_terms.bitwiseAND(F.lit(_LOW))).alias("a"), _none("bigint").alias("b"), _none("bigint").alias("c"))
     return F.when(n > 0, _let(level(n), own)).otherwise(alone)
 
 
+def _drawn(codes: Column) -> Column:
+    """The codes of terms that are in some subset."""
+    return F.filter(codes, lambda c: c.bitwiseAND(F.lit(~_LOW)) != 0)
+
+
 def shown(fp: Column) -> Column:
     text = lambda a: F.array_join(F.transform(a, lambda h: F.coalesce(F.lpad(F.hex(h), 8, "0"), F.lit("-"))), "")
     return F.concat_ws(":", fp["level"].cast("string"), text(fp["a"]), text(fp["b"]), text(fp["c"]))
@@ -207,20 +242,30 @@ def with_next(docs: DataFrame, rare: DataFrame | None = None) -> DataFrame:
 
 def counted(docs: DataFrame) -> DataFrame:
     """(term, df, id, hash): every term of (id, text), with how many documents have it and, if it is one, which."""
-    found = docs.select("id", F.xxhash64("text").alias("hash"), F.explode(terms(F.col("text"))).alias("term"))
+    # The hash is taken before the explode: beside it, Spark would hash the text again for each of its terms. A plain explode would also
+    # make the terms twice, as Spark asks for their number first.
+    found = docs.select("id", F.xxhash64("text").alias("hash"), terms(F.col("text")).alias("terms")).select("id", "hash", F.explode_outer("terms").alias("term")).where("term is not null")
     return found.groupBy("term").agg(F.count("*").alias("df"), F.max("id").alias("id"), F.max("hash").alias("hash"))
 
 
 def _cell(term: Column) -> Column:
-    return F.pmod(term, F.lit(CELLS)).cast("int")
+    return term.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def hashed(some: DataFrame) -> DataFrame:
-    """One row: the terms of some as a hash table, an array of CELLS arrays."""
-    cells = some.groupBy(_cell(F.col("term")).alias("cell")).agg(F.collect_list("term").alias("terms"))
+    """One row: the terms of some as a hash table, CELLS first terms (a term of another cell where there is none) and arrays of the others (null: none)."""
+    cells = some.groupBy(_cell(F.col("term")).alias("cell")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
     each = some.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(cells, "cell", "left")
-    pairs = F.array_sort(F.collect_list(F.struct("cell", F.coalesce("terms", _none("bigint")).alias("terms"))))
-    return each.agg(F.transform(pairs, lambda p: p["terms"]).alias("common"))
+    first = F.coalesce(F.get("terms", F.lit(0)), F.col("cell") + F.lit(1).cast("long"))
+    others = F.when(F.size("terms") > 1, F.slice("terms", F.lit(2), F.size("terms")))
+    pairs = F.array_sort(F.collect_list(F.struct("cell", first.alias("first"), others.alias("others"))))
+    return each.agg(pairs.alias("p")).select(F.transform("p", lambda p: p["first"]).alias("first"), F.transform("p", lambda p: p["others"]).alias("others"))
+
+
+def below_top(arrays: Column, first: Column, others: Column) -> Column:
+    """Arrays of terms without those in the table of hashed."""
+    top = lambda t: (F.get(first, _cell(t)) == t) | F.coalesce(F.array_contains(F.get(others, _cell(t)), t), F.lit(False))
+    return F.transform(arrays, lambda a: F.filter(a, lambda t: ~top(t)))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,24 +280,29 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n_docs = docs.count()
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    kept, added = F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)
     # A term below the band is in a single document (MIN_DOCS is 2).
     most = max(MIN_DOCS, int(MOST_SHARE * n_docs))
     all_terms = stored(counted(docs), "imatch-terms")
     rare = all_terms.where(F.col("df") < MIN_DOCS).groupBy("id", "hash").agg(F.collect_list("term").alias("rare"))
     common = stored(hashed(all_terms.where(F.col("df") > most)), "imatch-common")
-    base = with_next(docs, rare).select(
-        "id", "next_id", F.xxhash64("next_text").alias("next_hash"), F.xxhash64("text").alias("hash"), n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
-        terms(F.col("text")).alias("t"), terms(edited).alias("e"), terms(F.col("next_text")).alias("x"), F.coalesce("rare", _none("bigint")).alias("rare"), F.coalesce("next_rare", _none("bigint")).alias("next_rare"),
+    base = with_next(docs, rare).withColumns({"kept": kept, "added": added, "n_chars": n.cast("long")}).withColumn("edited", F.concat("kept", "added"))
+    base = base.select(
+        "id", "next_id", F.xxhash64("next_text").alias("next_hash"), F.xxhash64("text").alias("hash"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        terms(F.col("text")).alias("t"), terms(F.col("edited")).alias("e"), at_edges(F.col("kept"), F.col("added")).alias("edges"), F.coalesce("rare", _none("bigint")).alias("rare"), F.coalesce("next_rare", _none("bigint")).alias("next_rare"),
     )
-    below_top = lambda of: F.filter(of, lambda t: ~F.array_contains(F.get(F.col("common"), _cell(t)), t))
-    base = base.crossJoin(F.broadcast(common)).withColumns({"e_all": F.xxhash64(F.array_sort("e")), "t_all": F.xxhash64(F.array_sort("t")), "seam": below_top(F.array_except(F.array_except("e", "t"), F.col("x"))), "t_band": F.array_except(below_top(F.col("t")), F.col("rare")), "e_low": below_top(F.col("e"))})
-    e_band = F.array_except(F.array_except(F.array_except("e_low", "seam"), F.col("rare")), F.col("next_rare"))
-    base = base.select("id", "next_id", "next_hash", "hash", "n_chars", "edited_sha256", "t_all", "e_all", "seam", sketch(F.col("t_band")).alias("t"), sketch(e_band).alias("e"))
+    # The table is read where terms are looked up, not copied to each row: each of its columns is used once, so Spark puts it in there.
+    base = base.withColumns({"e_all": F.xxhash64(F.sort_array("e")), "t_all": F.xxhash64(F.sort_array("t")), "first": common.select("first").scalar(), "others": common.select("others").scalar()})
+    base = base.withColumn("below", below_top(F.array("e", "t", "edges"), F.col("first"), F.col("others")))
+    base = base.withColumns({"e": F.get("below", F.lit(0)), "t": F.get("below", F.lit(1)), "seam": F.array_except(F.get("below", F.lit(2)), F.get("below", F.lit(1)))})
+    base = base.withColumns({"e": F.array_except("e", F.concat("seam", "rare", "next_rare")), "t": F.array_except("t", "rare")})
+    base = base.select("id", "next_id", "next_hash", "hash", "n_chars", "edited_sha256", "e_all", "seam", sketch(F.col("e")).alias("e"), fingerprint(F.size("t"), whole_hash(F.col("t")), F.col("t"), F.col("t_all")).alias("fp"))
     base = stored(base, "imatch-texts").withColumn("row", F.xxhash64("id", "hash", "next_id", "next_hash"))
     seams = base.dropDuplicates(["row"]).select("row", F.explode("seam").alias("term"))
     found = seams.join(all_terms.where(F.col("df").between(MIN_DOCS, most)).select("term"), "term").groupBy("row").agg(F.collect_list("term").alias("more"))
-    out = base.join(found, "row", "left").select("id", "hash", "next_id", "next_hash", "n_chars", "edited_sha256", fingerprint(F.col("t"), _none("bigint"), F.col("t_all")).alias("fp"), fingerprint(F.col("e"), F.coalesce("more", _none("bigint")), F.col("e_all")).alias("ep"))
+    e, more = F.col("e"), F.coalesce("more", _none("bigint"))
+    ep = fingerprint(e["n"] + F.size(more), e["whole"].bitwiseXOR(whole_hash(more)), F.concat(e["terms"], more), F.col("e_all"))
+    out = base.join(found, "row", "left").select("id", "hash", "next_id", "next_hash", "n_chars", "edited_sha256", "fp", ep.alias("ep"))
     out = stored(out, "imatch-fingerprints")
     following = out.groupBy(F.col("id").alias("next_id"), F.col("hash").alias("next_hash")).agg(F.first("fp").alias("np"))
     joined = out.join(following, out.next_id.eqNullSafe(following.next_id) & (out.next_hash == following.next_hash))

@@ -185,6 +185,43 @@ def test_op5(spark, tables):
             assert want is None or math.isclose(value, want)
 
 
+def test_fingerprints_of_cut_words(spark, monkeypatch):
+    """Edited texts whose words at the seam and at the end change with the letters around; a table of common terms with full cells."""
+    monkeypatch.setattr(imatch, "MOST_SHARE", 0.5)
+    monkeypatch.setattr(imatch, "CELLS", 4)
+    rng = random.Random(3)
+    parts = ["ΟΔΟΣ", "Σ", "ΑΣ", "'", ".", " ", " ", "\n", "a", "Bc", "İ", "é", "日本", "\U0001f600"]
+    docs = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for k in range(120)]
+    terms = lambda t: {w for w in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower(), flags=re.A) if w}
+    df = collections.Counter(w for _, t in docs for w in terms(t))
+    assert sum(n > 60 for n in df.values()) == 0 < sum(n > 12 for n in df.values())
+    shown = lambda f: ":".join([str(f[0]), *("".join("-" if h is None else f"{h:08X}" for h in part) for part in f[1:])])
+    for share in (0.5, 0.1):
+        monkeypatch.setattr(imatch, "MOST_SHARE", share)
+        made = lambda t: shown(fingerprint({spark_hash(w) for w in terms(t) if 2 <= df[w] <= 120 * share}, {spark_hash(w) for w in terms(t)}))  # noqa: E731, B023
+        got = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+        for k, t in docs:
+            half = len(t) // 2
+            edited = t[: len(t) - half] + docs[(k + 1) % len(docs)][1][:half]
+            assert (got[k].fingerprint, got[k].edited_fingerprint) == (made(t), made(edited)), (t, edited)
+
+
+def test_op5_makes_terms_once_a_text(spark, tables, monkeypatch):
+    """A text isn't hashed again for each of its terms, and the next text isn't taken apart as a whole."""
+    plans, keep = {}, imatch.stored
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(imatch, "stored", spied)
+    registry.QUERIES["op5_imatch"](spark, tables[0])
+    counting, texts = plans["imatch-terms"], plans["imatch-texts"]
+    assert counting.count("split(") == 1 and "xxhash64(" not in counting[: counting.index("Generate")]
+    assert texts.count("split(") == 3  # the text, the edited one, and the words at its edges
+    assert "split(lower(next_text" not in texts
+
+
 def test_op6(spark, tables):
     t = encoding.load(bpe.tokenizer_file("byte_bpe_50k.json"))
     got = {r.doc_id: r for r in run(spark, tables, "op6_tree_bpe")}
