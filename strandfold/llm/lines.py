@@ -121,6 +121,28 @@ def surviving(a: Column, b: Column, edits: int, pieces: int = 8) -> Column:
     return total
 
 
+def sketch(line: Column) -> Column:
+    """struct(one, two): the parities of a line's characters and of its pairs of neighbours, each in 64 bits by their codes.
+
+    An edit takes or adds at most two characters and four pairs.
+    """
+    bit = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(F.lit(63)).cast("int"))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"))
+
+    def step(acc: Column, c: Column) -> Column:
+        pair = F.when(acc["last"] == 0, F.lit(0).cast("long")).otherwise(bit(acc["last"] * 37 + c))
+        return F.struct(c.alias("last"), acc["one"].bitwiseXOR(bit(c)).alias("one"), acc["two"].bitwiseXOR(pair).alias("two"))
+
+    codes = F.transform(F.split(line, ""), lambda c: F.ascii(c))
+    return F.aggregate(codes, start, step, lambda acc: F.struct(acc["one"].alias("one"), acc["two"].alias("two")))
+
+
+def alike(a_one: str, b_one: str, a_two: str, b_two: str, edits: int) -> Column:
+    """Whether two sketches may be of lines within edits edits: those of lines that are always may."""
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return (apart(a_one, b_one) <= 2 * edits) & (apart(a_two, b_two) <= 4 * edits)
+
+
 def _segment(n: Column, i: int | Column, pieces: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of a string of n characters; the last n % pieces are one longer."""
     base, extra = F.floor(n / pieces).cast("int"), n % pieces
@@ -218,30 +240,47 @@ def _ids(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-#: Words of the bits that say which lines are needed: up to 8 MB.
+#: Words of the bits that say which hashes are needed: up to 8 MB.
 MOST_WORDS = 1 << 20
 
 
-def _near_places(every: DataFrame, needed: DataFrame) -> DataFrame:
-    """The lines (id, no, line) without most of those that needed (p_id, p_no) doesn't name.
+def _bits(hashes: DataFrame, n: int) -> DataFrame:
+    """One row of bits: 16 or more for each of the n hashes (h), as far as MOST_WORDS goes."""
+    words = 1
+    while words < min(n / 4, MOST_WORDS):
+        words *= 2
+    found = hashes.groupBy(_word(F.col("h"), F.lit(words)).alias("word")).agg(F.bit_or(_bit(F.col("h"))).alias("bits"))
+    found = hashes.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(found, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    return stored(found.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("__bits")), "line-bits")
+
+
+def _word(h: Column, words: Column) -> Column:
+    return F.shiftright(h, 6).bitwiseAND(words - 1).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _where_bit(df: DataFrame, bits: DataFrame, h: Column, there: bool = True) -> DataFrame:
+    """The rows of df whose hash has its bit, or those that have it not: all others besides few."""
+    set_ = F.get("__bits", _word(h, F.size("__bits"))).bitwiseAND(_bit(h)) != 0
+    return df.join(F.broadcast(bits), set_ if there else ~set_).drop("__bits")
+
+
+def _among(df: DataFrame, own: Column, needed: DataFrame, theirs: Column) -> DataFrame:
+    """df without most of the rows whose hash (own) isn't one of needed (theirs).
 
     Where needed is too large to be broadcast, 16 or more bits a row of it are, in a row of
-    their own: only lines whose bit is set, some one in 16 besides those needed, go to the join.
+    their own: only rows whose bit is set, some one in 16 besides those needed, go to the join.
     """
     n = needed.count()
-    if n <= shared.BROADCAST_ROWS:
-        return every
-    words = 1
-    while words < min(n / 4, MOST_WORDS):
-        words *= 2
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(words - 1)).cast("int")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    place = F.xxhash64("p_id", "p_no")
-    found = needed.groupBy(word(place).alias("word")).agg(F.bit_or(bit(place)).alias("bits"))
-    found = needed.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(found, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
-    table_ = stored(found.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("__bits")), "line-places")
-    own = F.xxhash64("id", "no")
-    return every.join(F.broadcast(table_), F.get("__bits", word(own)).bitwiseAND(bit(own)) != 0).drop("__bits")
+    return df if n <= shared.BROADCAST_ROWS else _where_bit(df, _bits(needed.select(theirs.alias("h")), n), own)
+
+
+def _near_places(every: DataFrame, needed: DataFrame) -> DataFrame:
+    """The lines (id, no, line) without most of those that needed (p_id, p_no) doesn't name."""
+    return _among(every, F.xxhash64("id", "no"), needed, F.xxhash64("p_id", "p_no"))
 
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, hot_rows: int = HOT, depth: int = DEPTH) -> DataFrame:
@@ -257,35 +296,42 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     long = long.withColumn("n", F.char_length("text"))
     index = stored(_keyed(long, edits, "index"), "line-index")
     probe = _keyed(long, edits, "probe").union(index)  # a line's own keys are probes, too
-    hot = stored(index.groupBy("key").agg(F.countDistinct("h1").alias("k")).where(F.col("k") > hot_rows).select("key"), "hot-keys")
+    many = stored(index.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > hot_rows).select("key"), "many-keys")
+    hot = stored(index.join(small(many), "key", "left_semi").groupBy("key").agg(F.countDistinct("h1").alias("k")).where(F.col("k") > hot_rows).select("key"), "hot-keys")
     if hot.isEmpty():
         pairs = _pairs(index, probe)
     else:
         pairs = _pairs(index.join(hot, "key", "left_anti"), probe.join(hot, "key", "left_anti"))
         pairs = pairs.union(_hot_pairs(long.select("h1", "text").distinct(), hot, edits, hot_rows, depth)).distinct()
-    side = lambda s: firsts.select(F.col("h1").alias(f"h{s}"), F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(s))
-    pairs = stored(pairs.join(side("a"), "ha").join(side("b"), "hb").select("a1", "a2", "b1", "b2", "a", "b"), "line-pairs")
-    needed = pairs.select(F.col("a").alias("p"), F.col("a1").alias("h1")).union(pairs.select("b", "b1")).distinct().select(F.col("p.id").alias("p_id"), F.col("p.no").alias("p_no"), "h1")
-    # null keys are one place too; the hash tells the lines of documents with one key apart
-    there = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("no") == F.col("p_no")) & (F.xxhash64("line") == F.col("h1"))
-    texts = stored(_near_places(_lines(docs), needed).join(small(needed), there).select(F.struct("id", "no").alias("p"), "h1", "line"), "line-texts")
-    text = lambda s: texts.select(F.col("p").alias(s), F.col("h1").alias(f"{s}1"), F.col("line").alias(f"t{s}"))
+    pairs = stored(pairs, "line-candidates")
+    ends = stored(pairs.select(F.col("ha").alias("h1")).union(pairs.select("hb")).distinct(), "line-ends")
+    needed = stored(_among(firsts, F.col("h1"), ends, F.col("h1")).join(small(ends), "h1").select(F.col("first.id").alias("p_id"), F.col("first.no").alias("p_no"), "h1", "h2"), "line-needed")
+    # null keys are one place too; the hashes tell the lines of documents with one key apart
+    there = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("no") == F.col("p_no")) & (F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit(1), "line") == F.col("h2"))
+    texts = _near_places(_lines(docs), needed).join(small(needed), there).select(F.struct("id", "no").alias("p"), "h1", "h2", "line")
+    texts = stored(texts.withColumn("sketch", sketch(F.col("line"))).select("p", "h1", "h2", "line", "sketch.one", "sketch.two"), "line-texts")
+    # most candidates share a segment by chance: sketches tell, before texts are joined to them
+    side = lambda s: small(texts.select(F.col("h1").alias(f"h{s}"), F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("p").alias(s), F.col("one").alias(f"{s}_one"), F.col("two").alias(f"{s}_two")))
+    pairs = pairs.join(side("a"), "ha").join(side("b"), "hb").where(alike("a_one", "b_one", "a_two", "b_two", edits))
+    pairs = stored(pairs.select("a1", "a2", "b1", "b2", "a", "b"), "line-pairs")
+    text = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"t{s}"))
     pieces = 8
     late = [F.when(F.col("a") < F.col("b"), F.col(f"b{i}")).otherwise(F.col(f"a{i}")).alias(f"h{i}") for i in (1, 2)]
 
     def settled(some: DataFrame) -> DataFrame:
         """(h1, h2) of the later lines of the pairs that are within the edits."""
-        near = some.join(text("a"), ["a", "a1"]).join(text("b"), ["b", "b1"]).where(surviving(F.col("ta"), F.col("tb"), edits, pieces) >= pieces - edits)
+        near = small(some).join(text("a"), ["a1", "a2"])
+        near = near.join(text("b"), ["b1", "b2"]).where(surviving(F.col("ta"), F.col("tb"), edits, pieces) >= pieces - edits)
         distance = _let(trimmed(F.col("ta"), F.col("tb"), edits + 1), lambda t: bit_parallel_distance(t["a"], t["b"], edits))
         return near.where(distance <= edits).select(*late).distinct()
 
     # one near line before it is enough: the earliest is tried first, the others only for lines that it leaves open
-    tried = pairs.select("*", *late).groupBy("h1", "h2").agg(F.min_by(F.struct("a1", "a2", "b1", "b2", "a", "b"), F.least("a", "b")).alias("p")).select("p.*")
+    tried = stored(pairs.select("*", *late).groupBy("h1", "h2").agg(F.min_by(F.struct("a1", "a2", "b1", "b2", "a", "b"), F.least("a", "b")).alias("p")).select("p.*"), "tried-pairs")
     one = stored(settled(tried), "later-lines")
-    rest = pairs.select("*", *late).join(small(one), ["h1", "h2"], "left_anti").drop("h1", "h2").exceptAll(tried)
+    rest = stored(pairs.select("*", *late).join(small(one), ["h1", "h2"], "left_anti").drop("h1", "h2").exceptAll(tried), "open-pairs")
     later = stored(one.union(settled(rest)).withColumn("near", F.lit(True)), "later-lines")
-    flags = firsts.join(later, ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "first", "near")
-    gone = own.join(flags, ["h1", "h2"]).where("near or not (first.id <=> id and first.no = no)")
+    flags = stored(firsts.join(small(later), ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "first", "near"), "line-flags")
+    gone = _among(own, F.col("h1"), flags, F.col("h1")).join(small(flags), ["h1", "h2"]).where("near or not (first.id <=> id and first.no = no)")
     return gone.groupBy("id").agg(F.sort_array(F.collect_list("no")).alias("removed"))
 
 
@@ -299,8 +345,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     """
     docs = docs.drop("n_lines", "n_removed", "removed")
     cut = duplicate_lines(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), edits, **options)
-    cut = cut.select(F.col("id").alias("__id"), "removed")
-    out = docs.join(cut, F.col(key).eqNullSafe(F.col("__id")), "left")
+    cut = stored(cut.select(F.col("id").alias("__id"), "removed"), "line-cuts")
+    some, others, n = docs, None, cut.count()
+    if n > shared.BROADCAST_ROWS:  # only documents that lose lines, and few others, are shuffled
+        bits, own = _bits(cut.select(F.xxhash64("__id").alias("h")), n), F.xxhash64(F.col(key).cast(cut.schema["__id"].dataType))
+        some, others = _where_bit(docs, bits, own), _where_bit(docs, bits, own, there=False)
+    out = some.join(small(cut), F.col(key).eqNullSafe(F.col("__id")), "left")
+    if others is not None:
+        out = out.unionByName(others.withColumns({c: F.lit(None).cast(t) for c, t in cut.dtypes}))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     every = F.split(text, "\n")
     kept = F.when(F.size(removed) == 0, F.col(text)).otherwise(F.array_join(F.filter(every, lambda _, i: ~F.array_contains(removed, i)), "\n"))

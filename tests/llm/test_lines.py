@@ -126,3 +126,17 @@ def test_lines_too_many_to_be_broadcast(spark, monkeypatch):
     near = lines._near_places(every, needed)
     assert near.join(needed, (F.col("id") == F.col("p_id")) & (F.col("no") == F.col("p_no"))).count() == 400
     assert near.count() < 1200  # of 8000
+
+
+def test_sketches_leave_near_lines_and_few_others(spark):
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("abcdefghijklmnopé ") for _ in range(30))
+    rows = []
+    for _ in range(300):
+        a = line()
+        rows += [(a, mutate(rng, a, 2, "abcxyzé "), True), (a, a[:10] + line()[10:], False)]
+    df = spark.createDataFrame(rows, "a string, b string, near boolean")
+    for s in "ab":
+        df = df.withColumn(f"s{s}", lines.sketch(F.col(s))).withColumns({f"{s}_one": F.col(f"s{s}.one"), f"{s}_two": F.col(f"s{s}.two")})
+    got = df.select("near", lines.alike("a_one", "b_one", "a_two", "b_two", 2).alias("alike")).collect()
+    assert all(r.alike for r in got if r.near) and sum(r.alike for r in got if not r.near) < 15
