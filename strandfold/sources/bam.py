@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -271,34 +271,84 @@ class Encoder:
 # --- index
 
 
-def index_bytes(n_refs: int, ref: np.ndarray, pos: np.ndarray, end: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
-    """A BAI index of coordinate-sorted records, from their virtual offsets: chunks by bin, and the first record over each 16 kb."""
-    out = bytearray(b"BAI\1" + struct.pack("<i", n_refs))
-    bins = _bins(pos, end)
-    cuts = np.searchsorted(ref, np.arange(n_refs + 1)) if not len(ref) or (ref >= 0).all() else np.searchsorted(np.where(ref < 0, n_refs, ref), np.arange(n_refs + 1))
-    for r in range(n_refs):
-        a, e = int(cuts[r]), int(cuts[r + 1])
-        order = np.argsort(bins[a:e], kind="stable") + a
-        new = np.ones(len(order), bool)  # a chunk goes on while records of one bin follow each other in the file
-        new[1:] = (bins[order[1:]] != bins[order[:-1]]) | (start[order[1:]] != stop[order[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(order)) - 1
-        chunk_bin = bins[order[first]]
-        numbers, at, count = np.unique(chunk_bin, return_index=True, return_counts=True)
-        out += struct.pack("<i", len(numbers))
-        for b, i, k in zip(numbers.tolist(), at.tolist(), count.tolist()):
-            pairs = np.stack([start[order[first[i : i + k]]], stop[order[last[i : i + k]]]], axis=1).astype("<u8")
-            out += struct.pack("<Ii", b, k) + pairs.tobytes()
-        wide = int(max(0, (int(end[a:e].max()) - 1 >> 14) + 1)) if e > a else 0
-        linear = np.full(wide, 2**63 - 1, np.int64)
-        if wide:
-            low, high = np.maximum(pos[a:e], 0) >> 14, np.maximum(end[a:e] - 1, 0) >> 14
-            np.minimum.at(linear, _runs(low, high - low + 1), np.repeat(start[a:e], high - low + 1))
+class Index:
+    """A BAI index of coordinate-sorted records, as they come: chunks by bin, and the first record over each 16 kb. Of single records nothing is kept."""
+
+    def __init__(self, n_refs: int) -> None:
+        self.n_refs, self.ordered, self.unplaced = n_refs, True, 0
+        self.first: tuple[int, int] | None = None
+        self.last: tuple[int, int] | None = None
+        self.chunks = np.zeros((0, 4), np.int64)  # ref, bin, start, stop
+        self.some: list[np.ndarray] = []
+        self.linear: dict[tuple[int, int], int] = {}
+
+    def add(self, ref: np.ndarray, pos: np.ndarray, end: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Records that follow each other, and the last ones, in the file."""
+        if not len(ref):
+            return
+        key = np.where(ref < 0, self.n_refs, ref)
+        first, last = (int(key[0]), int(pos[0])), (int(key[-1]), int(pos[-1]))
+        same = (np.diff(key) == 0) & (key[1:] < self.n_refs)
+        self.ordered = self.ordered and not (np.diff(key) < 0).any() and not (same & (np.diff(pos) < 0)).any() and self._follows(first)
+        self.first, self.last = self.first or first, last
+        self.unplaced += int((ref < 0).sum())
+        ref, pos, end, start, stop = (x[ref >= 0] for x in (ref, pos, end, start, stop))
+        if not len(ref) or not self.ordered:
+            return
+        bins = _bins(pos, end)
+        new = np.flatnonzero(np.append(True, (np.diff(bins) != 0) | (np.diff(ref) != 0)))
+        runs = np.stack([ref[new], bins[new], start[new], stop[np.append(new[1:], len(ref)) - 1]], axis=1)
+        if self.some and (self.some[-1][-1, :2] == runs[0, :2]).all():  # a chunk goes on while records of one bin follow each other
+            self.some[-1][-1, 3] = runs[0, 3]
+            runs = runs[1:]
+        if len(runs):
+            self.some.append(runs)
+        low, high = np.maximum(pos, 0) >> 14, np.maximum(end - 1, 0) >> 14
+        n = high - low + 1
+        over, which = np.unique(np.repeat(ref, n) << 32 | _runs(low, n), return_index=True)
+        for w, i in zip(over.tolist(), np.repeat(start, n)[which].tolist()):
+            self.linear.setdefault((w >> 32, w & 0xFFFFFFFF), i)
+
+    def _follows(self, first: tuple[int, int]) -> bool:
+        return self.last is None or first[0] > self.last[0] or (first[0] == self.last[0] and (first[0] >= self.n_refs or first[1] >= self.last[1]))
+
+    def placed(self, virtual: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Places in the content become virtual offsets."""
+        self.chunks, self.some = np.concatenate([self.chunks, *self.some]), []
+        self.chunks[:, 2:] = virtual(self.chunks[:, 2:])
+        if self.linear:
+            self.linear = dict(zip(self.linear, virtual(np.array(list(self.linear.values()), np.int64)).tolist()))
+
+    def append(self, other: Index, base: int) -> None:
+        """The index of a file that is put behind this one's, at byte base."""
+        if other.first is None:
+            return
+        self.ordered = self.ordered and other.ordered and self._follows(other.first)
+        self.first, self.last = self.first or other.first, other.last
+        self.unplaced += other.unplaced
+        self.chunks = np.concatenate([self.chunks, other.chunks + np.array([0, 0, base << 16, base << 16])])
+        for w, v in other.linear.items():
+            self.linear.setdefault(w, v + (base << 16))
+
+    def to_bytes(self) -> bytes:
+        out = bytearray(b"BAI\1" + struct.pack("<i", self.n_refs))
+        windows: dict[int, dict[int, int]] = {}
+        for (r, w), v in self.linear.items():
+            windows.setdefault(r, {})[w] = v
+        for r in range(self.n_refs):
+            own = self.chunks[self.chunks[:, 0] == r]
+            own = own[np.argsort(own[:, 1], kind="stable")]
+            numbers, at, count = np.unique(own[:, 1], return_index=True, return_counts=True)
+            out += struct.pack("<i", len(numbers))
+            for b, i, k in zip(numbers.tolist(), at.tolist(), count.tolist()):
+                out += struct.pack("<Ii", b, k) + own[i : i + k, 2:].astype("<u8").tobytes()
+            mine = windows.get(r, {})
+            wide = max(mine, default=-1) + 1
+            linear = np.zeros(wide, np.int64)
             for i in range(wide - 1, -1, -1):  # a window without records has the next one's offset
-                if linear[i] == 2**63 - 1:
-                    linear[i] = linear[i + 1]
-        out += struct.pack("<i", wide) + linear.astype("<u8").tobytes()
-    return bytes(out) + struct.pack("<Q", int((ref < 0).sum()))
+                linear[i] = mine[i] if i in mine else linear[i + 1]
+            out += struct.pack("<i", wide) + linear.astype("<u8").tobytes()
+        return bytes(out) + struct.pack("<Q", self.unplaced)
 
 
 def indexed_span(data: bytes, ref: int) -> tuple[int, int] | None:
@@ -522,15 +572,18 @@ def _paths(path: str) -> list[str]:
 
 
 class _Message(WriterCommitMessage):
-    def __init__(self, trying: str | None, final: str | None, indexed: bool = False) -> None:
-        self.trying, self.final, self.indexed = trying, final, indexed
+    def __init__(self, trying: str | None, final: str | None, index: Index | None = None) -> None:
+        self.trying, self.final, self.index = trying, final, index
 
 
 class _Writer(DataSourceArrowWriter):
-    """One BAM a partition, with an index beside it if it is in coordinate order; files appear under their names only when all tasks are done."""
+    """One BAM a partition, with an index beside it if it is in coordinate order; files appear under their names only when all tasks are done.
+
+    With onefile the partitions' records are compressed by the tasks and put behind each other when all are done.
+    """
 
     def __init__(self, options, overwrite: bool) -> None:
-        self.path, self.header = options["path"], options.get("header", "")
+        self.path, self.header, self.one = options["path"], options.get("header", ""), options.get("onefile") == "true"
         if storage.is_dir(self.path) and (old := storage.files(self.path)):
             if not overwrite:
                 raise FileExistsError(self.path)
@@ -546,9 +599,8 @@ class _Writer(DataSourceArrowWriter):
         trying = storage.join(self.path, f".{task.partitionId():05d}-{task.taskAttemptId()}")
         refs = header_references(self.header)
         encoder = Encoder({name: i for i, (name, _) in enumerate(refs)})
-        placed: dict[str, list[np.ndarray]] = {"ref": [], "pos": [], "end": [], "size": []}
-        head = header_bytes(self.header, refs)
-        where = [0]
+        index, head = Index(len(refs)), b"" if self.one else bytes(header_bytes(self.header, refs))
+        where, made = [0], len(head)
         with storage.writer(trying) as f:
             buffer = bytearray(head)
 
@@ -563,30 +615,47 @@ class _Writer(DataSourceArrowWriter):
                 for lo in range(0, b.num_rows, BATCH):
                     raw, own = encoder.batch(b.slice(lo, BATCH))
                     buffer += raw.tobytes()
-                    for c, v in own.items():
-                        placed[c].append(v)
+                    ends = made + np.cumsum(own["size"])
+                    index.add(own["ref"], own["pos"], own["end"], ends - own["size"], ends)
+                    made += len(raw)
                     put(False)
             put(True)
-            f.write(EOF)
-        if not placed["ref"] and task.partitionId() > 0:
+            if not self.one:
+                f.write(EOF)
+        if index.first is None and (self.one or task.partitionId() > 0):
             storage.remove(trying)
             return _Message(None, None)
-        ref, pos, end, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in placed.values())
-        key = np.where(ref < 0, len(refs), ref)
-        if (np.diff(key) < 0).any() or ((np.diff(key) == 0) & (np.diff(pos) < 0) & (key[1:] < len(refs))).any():
-            return _Message(trying, final)  # not in coordinate order: no index
-        ends = len(head) + np.cumsum(size)
-        virtual = lambda c: (np.array(where, np.int64)[c // BLOCK_BYTES] << 16) | c % BLOCK_BYTES
-        with storage.writer(trying + ".bai") as f:
-            f.write(index_bytes(len(refs), ref, pos, end, virtual(ends - size), virtual(ends)))
-        return _Message(trying, final, True)
+        places = np.array(where, np.int64)
+        index.placed(lambda c: (places[c // BLOCK_BYTES] << 16) | c % BLOCK_BYTES)
+        if index.ordered and not self.one:
+            _put(trying + ".bai", index.to_bytes())
+        return _Message(trying, final, index)
 
     def commit(self, messages) -> None:
-        for m in messages:
-            if m and m.trying:
-                storage.move(m.trying, m.final)
-                if m.indexed:
-                    storage.move(m.trying + ".bai", m.final + ".bai")
+        done = [m for m in messages if m and m.trying]
+        if self.one:
+            done = [self._joined(sorted(done, key=lambda m: m.final))]
+        for m in done:
+            storage.move(m.trying, m.final)
+            if m.index.ordered:
+                storage.move(m.trying + ".bai", m.final + ".bai")
+
+    def _joined(self, parts: list[_Message]) -> _Message:
+        refs = header_references(self.header)
+        index, trying, head = Index(len(refs)), storage.join(self.path, ".joined"), bytes(header_bytes(self.header, refs))
+        with storage.writer(trying) as f:
+            at = sum(f.write(deflate(head[lo : lo + BLOCK_BYTES])) for lo in range(0, len(head), BLOCK_BYTES))
+            for m in parts:
+                index.append(m.index, at)
+                with storage.reader(m.trying) as part:
+                    while some := part.read(8 << 20):
+                        at += f.write(some)
+            f.write(EOF)
+        if index.ordered:
+            _put(trying + ".bai", index.to_bytes())
+        for m in parts:
+            storage.remove(m.trying)
+        return _Message(trying, storage.join(self.path, "part-00000.bam"), index)
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -595,6 +664,11 @@ class _Writer(DataSourceArrowWriter):
                     storage.remove(f)
 
 
+def _put(path: str, data: bytes) -> None:
+    with storage.writer(path) as f:
+        f.write(data)
+
+
 def header_references(text: str) -> list[tuple[str, int]]:
     out = []
     for line in text.split("\n"):
@@ -626,10 +700,9 @@ def references(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bam(reads: DataFrame, path: str, header: str, ordered: bool = True, files: int | None = None) -> None:
-    """A folder of BAM files in coordinate order; reads without a reference come last. files=1 makes one file."""
+    """A folder of BAM files in coordinate order; reads without a reference come last. files=1 makes one file, which all tasks' records are put into."""
     reads.sparkSession.dataSource.register(BamSource)
     if ordered:
         keys = [F.when(F.col("chr") >= 0, F.col("chr")).otherwise(2**31 - 1), F.col("pos"), F.col("read_ord")]
-        reads = reads.coalesce(1) if files == 1 else reads.repartitionByRange(*([files] if files else []), *keys)
-        reads = reads.sortWithinPartitions(*keys)
-    reads.write.format("bam").option("header", header).mode("append").save(path)
+        reads = reads.repartitionByRange(*([files] if files and files > 1 else []), *keys).sortWithinPartitions(*keys)
+    reads.write.format("bam").option("header", header).option("onefile", str(ordered and files == 1).lower()).mode("append").save(path)

@@ -171,3 +171,27 @@ def test_uris_and_line_counts(spark, tmp_path):
     assert files.gather(f"file://{tmp_path}") == [(f"file://{tmp_path}/a.fq", "fastq")]
     with pytest.raises(FileNotFoundError):
         fastq.read_fastq(spark, f"file://{tmp_path}/none*.fq")
+
+
+def test_one_bam_file_is_written_by_many_tasks(spark, tmp_path):
+    parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = alignments(spark, 3000)
+        bam.write_bam(df, str(tmp_path / "one"), HEADER, files=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
+    assert sorted(f.name for f in (tmp_path / "one").iterdir() if not f.name.startswith(".")) == ["part-00000.bam", "part-00000.bam.bai"]
+    path = str(tmp_path / "one" / "part-00000.bam")
+    with open(path, "rb") as f:
+        sizes = [len(c) for _, c in bam.blocks(f, 0, bam.storage.size(path))]
+    assert sum(0 < n < bam.BLOCK_BYTES for n in sizes) > 2  # blocks that end with a task's records
+    read = bam.read_bam(spark, path)
+    assert read.count() == df.count()
+    assert [r.pos for r in read.where("chr = 1").orderBy("read_ord").collect()] == sorted(r.pos for r in df.where("chr = 1").collect())
+    index = bam.Index(1)
+    n = 200_000
+    for lo in range(0, n, 5000):
+        at = np.arange(lo, lo + 5000)
+        index.add(np.zeros(5000, np.int64), at // 10, at // 10 + 50, 100 * at, 100 * at + 100)
+    assert index.ordered and sum(map(len, index.some)) < n / 100 and len(index.linear) < 10
